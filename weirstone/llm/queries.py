@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirstone.llm import byte_bpe, mixture, shared_spans
 from weirstone.llm.repeated_lines import repeated_lines, without_repeated_lines
 from weirstone.sources.tables import table
 
@@ -23,8 +24,43 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(kb).select(F.col("key").cast("long").alias("seq"), "content", "removed")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = byte_bpe.decode(byte_bpe.encode(docs)).withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixture.select_mixture(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_share(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.fuzzy_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_clean": p4_clean}
+    return {f.__name__: f for f in (p4_found, p4_clean, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
 
 
 SQL = {
