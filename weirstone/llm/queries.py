@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import byte_bpe, mixture, shared_spans
+from weirstone.llm import byte_bpe, encoding_repair, mixture, shared_spans
 from weirstone.llm.repeated_lines import repeated_lines, without_repeated_lines
 from weirstone.sources.tables import table
 
@@ -24,6 +24,14 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(kb).select(F.col("key").cast("long").alias("seq"), "content", "removed")
 
 
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.repair(table(spark, sf_dir, "kb").select("seq", "title", "content"), ["content", "title"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_restored(spark, sf_dir).select(F.col("seq").cast("long").alias("seq"), "field")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,7 +68,7 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_clean, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
+    return {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_restored, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
 
 
 SQL = {
