@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import byte_bpe, encoding_repair, mixture, shared_spans
+from weirstone.llm import byte_bpe, encoding_repair, mixture, scan_repair, shared_spans
 from weirstone.llm.repeated_lines import repeated_lines, without_repeated_lines
 from weirstone.sources.tables import table
 
@@ -32,6 +32,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_restored(spark, sf_dir).select(F.col("seq").cast("long").alias("seq"), "field")
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb = table(spark, sf_dir, "kb").select("seq", "title", "content", "pdf")
+    model = scan_repair.fit(kb.where("pdf is null"), "title", "content")
+    return scan_repair.scan_noise(kb.where("pdf is not null"), model)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).select(F.col("seq").cast("long").alias("seq"), F.explode("lines").alias("x")).select("seq", "x.line_no", "x.kind")
+
+
+def p6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).select("seq", "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,7 +82,7 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_restored, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
+    return {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
 
 
 SQL = {
