@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import byte_bpe, encoding_repair, mixture, scan_repair, shared_spans
+from weirstone.llm import byte_bpe, encoding_repair, mixture, residue, scan_repair, shared_spans
 from weirstone.llm.repeated_lines import repeated_lines, without_repeated_lines
 from weirstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb = table(spark, sf_dir, "kb").select("seq", "title", "source", "url", "content", "summary")
+    return residue.find(kb, ["content", "summary"]).select(F.col("seq").cast("long").alias("seq"), "field")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb = table(spark, sf_dir, "kb").where("pdf is null").select("seq", "source", "content")
     return repeated_lines(kb).select(F.col("key").cast("long").alias("seq"), "line_no")
@@ -82,7 +87,7 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
 
 
 SQL = {
