@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import byte_bpe, encoding_repair, mixture, residue, scan_repair, shared_spans
+from weirstone.llm import byte_bpe, encoding_repair, main_text, mixture, residue, scan_repair, shared_spans
 from weirstone.llm.repeated_lines import repeated_lines, without_repeated_lines
 from weirstone.sources.tables import table
 
@@ -19,6 +19,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find(kb, ["content", "summary"]).select(F.col("seq").cast("long").alias("seq"), "field")
 
 
+def _main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "kb").where("pdf is null").select("seq", "title", "source", "url", "content"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _main_text(spark, sf_dir).select(F.col("seq").cast("long").alias("seq"), F.explode("frame").alias("line_no"))
+
+
+def p2_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _main_text(spark, sf_dir).select("seq", "body")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb = table(spark, sf_dir, "kb").where("pdf is null").select("seq", "source", "content")
     return repeated_lines(kb).select(F.col("key").cast("long").alias("seq"), "line_no")
@@ -87,7 +99,7 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_body, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
 
 
 SQL = {
