@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import byte_bpe, encoding_repair, main_text, mixture, residue, scan_repair, shared_spans
+from weirstone.llm import byte_bpe, encoding_repair, history_dedup, main_text, mixture, residue, scan_repair, shared_spans
 from weirstone.llm.repeated_lines import repeated_lines, without_repeated_lines
 from weirstone.sources.tables import table
 
@@ -31,6 +31,11 @@ def p2_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _main_text(spark, sf_dir).select("seq", "body")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb, inbox = (table(spark, sf_dir, t).select("seq", "url", "title") for t in ("kb", "inbox"))
+    return history_dedup.against_history(kb, inbox, table(spark, sf_dir, "sites"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb = table(spark, sf_dir, "kb").where("pdf is null").select("seq", "source", "content")
     return repeated_lines(kb).select(F.col("key").cast("long").alias("seq"), "line_no")
@@ -99,7 +104,7 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_body, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_body, p3_found, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
 
 
 SQL = {
