@@ -1,7 +1,7 @@
 """Problem 3: new batches against everything accepted before.
 
 The history is an index in the shared folder, partitioned by a hash of the key: for each accepted record
-its address key, title key and minwise band keys with the signature they come from. A batch computes its
+its address key, title key and minwise band keys, and once per title the signature they come from. A batch computes its
 own keys, probes only the buckets they fall into, verifies candidates and appends its keys. As an item is
 decided by the order of ``seq`` alone, several batches may be probed at once with the same outcome.
 
@@ -29,12 +29,12 @@ from urllib.parse import parse_qsl, unquote, urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirstone.sources.tables import cut, scratch
 
-BANDS, BUCKETS, SLIP, LIKE = 6, 64, 2, 0.5
+BANDS, BUCKETS, SLIP = 6, 64, 2
 # Query parameters that trace a visit and name no page.
 _TRACKING = re.compile(r"^(?:utm_\w+|spm|from|isappinstalled|share\w*|fbclid|gclid|msclkid|yclid|mc_[ce]id|_ga|scm|ref|referrer|ref_src|weixin\w*|nsukey|wxshare\w*|timestamp|source|src|track\w*|trk|cmpid|campaign\w*)$", re.I)
 # Words that end the name of a water body or place.
@@ -153,79 +153,89 @@ def keys(df: DataFrame, sites: frozenset[str], key: str = "seq", url: str = "url
 
 
 def _entries(k: DataFrame) -> DataFrame:
-    """Index rows (bucket, kind, h, seq, base, number, place, sig): kind 'u', 't' (title with number), 'b' (title without), 0.. (bands)."""
+    """Key rows (bucket, kind, h, seq, t, bare): kind 'u', 't' (title with number), 'b' (title without), '0'.. (bands)."""
     place = F.col("place")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.cast("string").alias("kind"), F.xxhash64(i, F.element_at("sig", i + 1), place, F.col("figures"), F.when(place == "", F.element_at("sig", F.pmod(i + 1, F.lit(BANDS)) + 1))).alias("h")))
     named = F.array(F.struct(F.lit("u").alias("kind"), F.col("u").alias("h")), F.struct(F.lit("t").alias("kind"), F.col("t").alias("h")), F.struct(F.lit("b").alias("kind"), F.xxhash64("base", F.lit("b")).alias("h")))
     e = k.withColumn("e", F.explode(F.when(F.col("sig").isNull(), F.slice(named, 1, 1)).otherwise(F.concat(named, bands)))).where("e.h is not null")
-    band = F.col("e.kind") != "u"
-    return e.select(F.pmod(F.col("e.h"), F.lit(BUCKETS)).cast("int").alias("bucket"), "e.kind", "e.h", "seq", "t", *(F.when(band, F.col(c)).alias(c) for c in ("base", "number", "place", "sig")))
+    return e.select(_bucket(F.col("e.h")).alias("bucket"), "e.kind", "e.h", "seq", "t", (F.col("number") == "").alias("bare"))
 
 
-_LABELS = "seq bigint, item bigint"
+def _titles(k: DataFrame) -> DataFrame:
+    """Signature rows (bucket, t, base, number, place, sig), one per title."""
+    one = k.where("t is not null").groupBy("t").agg(*(F.first(c).alias(c) for c in ("base", "number", "place", "sig")))
+    return one.select(_bucket(F.col("t")).alias("bucket"), "t", "base", "number", "place", "sig")
+
+
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
 class History:
-    """The index of accepted records in a folder all executors share."""
+    """The index of accepted records in a folder all executors share: key rows, and one signature row per title."""
 
     def __init__(self, spark: SparkSession, path: str, sites: frozenset[str] = frozenset()):
         self.spark, self.path, self.sites = spark, path, sites
 
-    def _read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/keys")
-
     def append(self, df: DataFrame) -> None:
-        """Adds the keys of accepted records. Only new files are written."""
-        _entries(keys(df, self.sites)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
+        """Adds the keys of accepted records. Only new files are written; the keys are computed once."""
+        k = cut(keys(df, self.sites))
+        _entries(k).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
+        _titles(k).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/titles")
 
     def probe(self, df: DataFrame) -> DataFrame:
         """(seq_1, seq_2) of the records of ``df`` that repeat an item of the index or of an earlier record in ``df``."""
         new = cut(keys(df, self.sites))
         mine = _entries(new)
-        old = self._read()
         # Only entries whose key the batch has are read on: the bucket prunes files, the key rows.
         wanted = mine.select("bucket", "kind", "h").distinct()
-        near = old.join(wanted, ["bucket", "kind", "h"], "left_semi")
+        near = self.spark.read.parquet(f"{self.path}/keys").join(wanted, ["bucket", "kind", "h"], "left_semi")
         both = cut(near.unionByName(mine).distinct())
-        return repeats(both, new.select("seq"))
+        pairs = cut(_candidates(both))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().withColumn("bucket", _bucket(F.col("t")))
+        stored = self.spark.read.parquet(f"{self.path}/titles").join(asked, ["bucket", "t"], "left_semi").unionByName(_titles(new).join(asked, ["bucket", "t"], "left_semi"))
+        titles = cut(stored.groupBy("t").agg(*(F.first(c).alias(c) for c in ("base", "number", "place", "sig"))))
+        return repeats(both, _slips(pairs, titles), new.select("seq"))
 
 
 def _folded(both: DataFrame) -> DataFrame:
-    """(t, kind, h, first, base, number, place, sig): titles once each, with their first record."""
-    return both.where("kind <> 'u'").groupBy("kind", "h", "t").agg(F.min("seq").alias("first"), *(F.first(c).alias(c) for c in ("base", "number", "place", "sig")))
+    """(kind, h, t, first, bare): titles once each, with their first record."""
+    return both.where("kind <> 'u'").groupBy("kind", "h", "t").agg(F.min("seq").alias("first"), F.first("bare").alias("bare"))
 
 
-def _slips(folded: DataFrame) -> DataFrame:
-    """Pairs (a, b) of titles, a first seen before b, that are one slip apart."""
-    bands = folded.where("kind not in ('t', 'b')").select("kind", "h", "t", "first", "base", "number", "place", "sig")
-    x = bands.select("kind", "h", *(F.col(c).alias(f"x_{c}") for c in ("t", "first", "base", "number", "place", "sig")))
-    y = bands.select("kind", "h", *(F.col(c).alias(f"y_{c}") for c in ("t", "first", "base", "number", "place", "sig")))
-    agree = F.size(F.filter(F.zip_with("x_sig", "y_sig", lambda p, q: p == q), lambda e: e))
-    pairs = x.join(y, ["kind", "h"]).where("x_first < y_first and x_t <> y_t and x_place = y_place and abs(length(x_base) - length(y_base)) <= 2 and (x_number = y_number or x_number = '' or y_number = '')")
-    pairs = pairs.where((agree >= 1) & (F.levenshtein("x_base", "y_base", 4) >= 0)).select("x_t", "y_t", "x_first", "y_first", "x_base", "y_base").distinct()
+def _candidates(both: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different titles that share a band key."""
+    bands = _folded(both.where("kind not in ('u', 't', 'b')")).select("kind", "h", "t")
+    return bands.withColumnRenamed("t", "a").join(bands.withColumnRenamed("t", "b"), ["kind", "h"]).where("a < b").select("a", "b").distinct()
+
+
+def _slips(pairs: DataFrame, titles: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree enough, whose place and number fit, and that are one slip apart."""
+    side = lambda c: titles.select(F.col("t").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("base", "number", "place", "sig")))
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    agree = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda p, q: p == q), lambda e: e))
+    j = j.where((agree >= 1) & (F.col("a_place") == F.col("b_place")) & ((F.col("a_number") == F.col("b_number")) | (F.col("a_number") == "") | (F.col("b_number") == ""))).select("a", "b", "a_base", "b_base")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [same_but_for_a_slip(p, q) for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
-            rows = b.filter(pa.array(ok, pa.bool_()))
+        for x in batches:
+            ok = [same_but_for_a_slip(p, q) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
+            rows = x.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
 
-    return pairs.mapInArrow(work, "a bigint, b bigint")
+    return j.mapInArrow(work, "a bigint, b bigint")
 
 
-def repeats(both: DataFrame, asked: DataFrame) -> DataFrame:
-    """The items of index rows ``both``, for the records ``asked`` that aren't the first of theirs."""
-    folded = cut(_folded(both))
+def repeats(both: DataFrame, slips: DataFrame, asked: DataFrame) -> DataFrame:
+    """The items of key rows ``both``, for the records ``asked`` that aren't the first of theirs."""
     # A title without its document number belongs to the first title that has the same words.
-    words = folded.where("kind = 'b'")
-    first = words.groupBy("h").agg(F.min_by("t", "first").alias("a"), F.min("first").alias("at"))
-    dropped = words.where("number = ''").join(first, "h").where("a <> t").select("a", F.col("t").alias("b"))
-    last = words.where("number = ''").join(words.where("number <> ''").groupBy("h").agg(F.min_by("t", "first").alias("n"), F.min("first").alias("n_at")), "h").where("t <> n")
-    links = cut(dropped.unionByName(last.select(F.col("t").alias("a"), F.col("n").alias("b"))).unionByName(_slips(folded)).distinct())
+    words = cut(_folded(both.where("kind = 'b'")))
+    first = words.groupBy("h").agg(F.min_by("t", "first").alias("a"))
+    dropped = words.where("bare").join(first, "h").where("a <> t").select("a", F.col("t").alias("b"))
+    last = words.where("bare").join(words.where("not bare").groupBy("h").agg(F.min_by("t", "first").alias("n")), "h").select(F.col("t").alias("a"), F.col("n").alias("b"))
+    links = cut(dropped.unionByName(last).unionByName(slips).distinct())
     edges = both.where("kind = 'u'").select("seq", F.concat(F.lit("u"), "h").alias("k")).unionByName(both.where("t is not null").select("seq", F.concat(F.lit("t"), "t").alias("k")))
     # A link joins the key nodes of two titles through a record-like node of its own.
-    pair = F.xxhash64("a", "b")
-    edges = edges.unionByName(links.select((-F.abs(pair) - 1).alias("seq"), F.explode(F.array(F.concat(F.lit("t"), "a"), F.concat(F.lit("t"), "b"))).alias("k"))).distinct()
+    edges = edges.unionByName(links.select((-F.abs(F.xxhash64("a", "b")) - 1).alias("seq"), F.explode(F.array(F.concat(F.lit("t"), "a"), F.concat(F.lit("t"), "b"))).alias("k"))).distinct()
     edges = cut(edges)
     big = F.lit((1 << 63) - 1)
     nodes = edges.select("seq").distinct().withColumn("item", F.when(F.col("seq") >= 0, F.col("seq")).otherwise(big))
