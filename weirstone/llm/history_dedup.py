@@ -2,7 +2,7 @@
 
 The history is an index in the shared folder, partitioned by a hash of the key: for each accepted record
 its address key, title key and minwise band keys, and once per title the signature they come from. A batch computes its
-own keys, probes only the buckets they fall into, verifies candidates and appends its keys. As an item is
+own keys, probes only the buckets they fall into, verifies candidates and appends its keys with the items found. As an item is
 decided by the order of ``seq`` alone, several batches may be probed at once with the same outcome.
 
 Same address: scheme, www, host case, default port, fragment, closing slash, tracking parameters, escapes
@@ -29,6 +29,7 @@ from urllib.parse import parse_qsl, unquote, urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ def _entries(k: DataFrame) -> DataFrame:
     """Key rows (bucket, kind, h, seq, t, bare): kind 'u', 't' (title with number), 'b' (title without), '0'.. (bands)."""
     place = F.col("place")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.cast("string").alias("kind"), F.xxhash64(i, F.element_at("sig", i + 1), place, F.col("figures"), F.when(place == "", F.element_at("sig", F.pmod(i + 1, F.lit(BANDS)) + 1))).alias("h")))
-    named = F.array(F.struct(F.lit("u").alias("kind"), F.col("u").alias("h")), F.struct(F.lit("t").alias("kind"), F.col("t").alias("h")), F.struct(F.lit("b").alias("kind"), F.xxhash64("base", F.lit("b")).alias("h")))
+    named = F.array(F.struct(F.lit("u").alias("kind"), F.col("u").alias("h")), F.struct(F.lit("t").alias("kind"), F.col("t").alias("h")), F.struct(F.lit("b").alias("kind"), _words(F.col("base")).alias("h")))
     e = k.withColumn("e", F.explode(F.when(F.col("sig").isNull(), F.slice(named, 1, 1)).otherwise(F.concat(named, bands)))).where("e.h is not null")
     return e.select(_bucket(F.col("e.h")).alias("bucket"), "e.kind", "e.h", "seq", "t", (F.col("number") == "").alias("bare"))
 
@@ -172,30 +173,65 @@ def _bucket(h: Column) -> Column:
 
 
 class History:
-    """The index of accepted records in a folder all executors share: key rows, and one signature row per title."""
+    """The index of accepted records in a folder all executors share: key rows, and one signature row per title.
+
+    A key row holds the item (the smallest ``seq``) its record was found to belong to, so that an item is
+    known by its first record however it was reached.
+    """
 
     def __init__(self, spark: SparkSession, path: str, sites: frozenset[str] = frozenset()):
         self.spark, self.path, self.sites = spark, path, sites
 
-    def append(self, df: DataFrame) -> None:
-        """Adds the keys of accepted records. Only new files are written; the keys are computed once."""
-        k = cut(keys(df, self.sites))
-        _entries(k).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
-        _titles(k).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/titles")
+    def _read(self, part: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/{part}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
+    def _decide(self, new: DataFrame) -> DataFrame:
+        """(seq, item) of every record of ``new`` (keys), against the index and each other."""
+        mine, old, titles = _entries(new), self._read("keys"), _titles(new)
+        both = mine
+        if old is not None:
+            # Only entries whose key the batch has are read on: the bucket prunes files, the key rows.
+            wanted = mine.select("bucket", "kind", "h").distinct()
+            both = old.join(wanted, ["bucket", "kind", "h"], "left_semi").unionByName(mine)
+        both = cut(both.distinct())
+        pairs = cut(_candidates(both))
+        words = both.where("kind = 'b'")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().withColumn("bucket", _bucket(F.col("t")))
+        titles = titles.join(asked, ["bucket", "t"], "left_semi")
+        if old is not None:
+            titles = titles.unionByName(self._read("titles").join(asked, ["bucket", "t"], "left_semi"))
+        titles = cut(titles.groupBy("t").agg(*(F.first(c).alias(c) for c in ("base", "number", "place", "sig"))))
+        if old is not None:
+            same = titles.where("number = ''").select(_words(F.col("base")).alias("h")).withColumn("bucket", _bucket(F.col("h"))).distinct()
+            words = words.unionByName(old.where("kind = 'b'").join(same, ["bucket", "h"], "left_semi").select(*words.columns))
+        words = cut(_folded(words))
+        return _items(both, words, _slips(pairs, titles, words), new.select("seq"))
+
+    def accept(self, df: DataFrame) -> DataFrame:
+        """Decides the records of ``df`` and adds their keys; only new files are written. Gives what ``probe`` does."""
+        new = cut(keys(df, self.sites))
+        items = cut(self._decide(new))
+        entries = _entries(new).join(items, "seq").drop("seq").withColumnRenamed("item", "seq").distinct()
+        entries.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
+        _titles(new).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/titles")
+        return _repeats(items)
 
     def probe(self, df: DataFrame) -> DataFrame:
         """(seq_1, seq_2) of the records of ``df`` that repeat an item of the index or of an earlier record in ``df``."""
-        new = cut(keys(df, self.sites))
-        mine = _entries(new)
-        # Only entries whose key the batch has are read on: the bucket prunes files, the key rows.
-        wanted = mine.select("bucket", "kind", "h").distinct()
-        near = self.spark.read.parquet(f"{self.path}/keys").join(wanted, ["bucket", "kind", "h"], "left_semi")
-        both = cut(near.unionByName(mine).distinct())
-        pairs = cut(_candidates(both))
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().withColumn("bucket", _bucket(F.col("t")))
-        stored = self.spark.read.parquet(f"{self.path}/titles").join(asked, ["bucket", "t"], "left_semi").unionByName(_titles(new).join(asked, ["bucket", "t"], "left_semi"))
-        titles = cut(stored.groupBy("t").agg(*(F.first(c).alias(c) for c in ("base", "number", "place", "sig"))))
-        return repeats(both, _slips(pairs, titles), new.select("seq"))
+        return _repeats(self._decide(cut(keys(df, self.sites))))
+
+
+def _repeats(items: DataFrame) -> DataFrame:
+    return items.where("item < seq").select(F.col("item").alias("seq_1"), F.col("seq").alias("seq_2"))
+
+
+def _words(base: Column) -> Column:
+    return F.xxhash64(base, F.lit("b"))
 
 
 def _folded(both: DataFrame) -> DataFrame:
@@ -209,8 +245,13 @@ def _candidates(both: DataFrame) -> DataFrame:
     return bands.withColumnRenamed("t", "a").join(bands.withColumnRenamed("t", "b"), ["kind", "h"]).where("a < b").select("a", "b").distinct()
 
 
-def _slips(pairs: DataFrame, titles: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree enough, whose place and number fit, and that are one slip apart."""
+def _slips(pairs: DataFrame, titles: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree enough, whose place and number fit, and that are one slip apart.
+
+    A missing number fits any, but not where the same words stand with a number too: then that title is the one to compare with.
+    """
+    taken = words.join(words.where("not bare").select("h").distinct(), "h", "left_semi").where("bare").select("t")
+    titles = titles.join(taken.withColumn("gone", F.lit(True)), "t", "left").withColumn("number", F.when(F.col("gone"), "\x01").otherwise(F.col("number")))
     side = lambda c: titles.select(F.col("t").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("base", "number", "place", "sig")))
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     agree = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda p, q: p == q), lambda e: e))
@@ -225,10 +266,9 @@ def _slips(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     return j.mapInArrow(work, "a bigint, b bigint")
 
 
-def repeats(both: DataFrame, slips: DataFrame, asked: DataFrame) -> DataFrame:
-    """The items of key rows ``both``, for the records ``asked`` that aren't the first of theirs."""
+def _items(both: DataFrame, words: DataFrame, slips: DataFrame, asked: DataFrame) -> DataFrame:
+    """(seq, item) of the records ``asked``."""
     # A title without its document number belongs to the first title that has the same words.
-    words = cut(_folded(both.where("kind = 'b'")))
     first = words.groupBy("h").agg(F.min_by("t", "first").alias("a"))
     dropped = words.where("bare").join(first, "h").where("a <> t").select("a", F.col("t").alias("b"))
     last = words.where("bare").join(words.where("not bare").groupBy("h").agg(F.min_by("t", "first").alias("n")), "h").select(F.col("t").alias("a"), F.col("n").alias("b"))
@@ -246,7 +286,7 @@ def repeats(both: DataFrame, slips: DataFrame, asked: DataFrame) -> DataFrame:
         nodes = after.select("seq", "item")
         if after.where("moved").isEmpty():
             break
-    return nodes.join(asked, "seq", "left_semi").where("item < seq").select(F.col("item").alias("seq_1"), F.col("seq").alias("seq_2"))
+    return asked.join(nodes, "seq", "left").select("seq", F.coalesce("item", "seq").alias("item"))
 
 
 def site_names(sites: DataFrame) -> frozenset[str]:
@@ -258,5 +298,5 @@ def against_history(history: DataFrame, inbox: DataFrame, sites: DataFrame) -> D
     """(seq_1, seq_2) for all of ``inbox`` against ``history`` and itself: an index is built, then probed once."""
     spark = inbox.sparkSession
     index = History(spark, scratch(spark, "history"), site_names(sites))
-    index.append(history)
+    index.accept(history)
     return index.probe(inbox)
