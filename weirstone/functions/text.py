@@ -14,6 +14,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 #: The characters of Unicode property White_Space and the four separators Python counts too, for a Java character class.
@@ -37,7 +38,7 @@ def nfkc_tables() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_python(s: pd.Series) -> pd.Series:
     out = s.copy()
     at = s.notna()

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weirstone.functions.fields import entities, strip_tags
 from weirstone.functions.text import strip
@@ -109,7 +110,7 @@ class _Blocks(HTMLParser):
 def container_text(keys: list[str], least: int = 300):
     """A pandas UDF: the longest text of an element named by ``keys`` if over ``least`` characters, else null. Tags must balance, which no expression can count."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda m: one(m, keys, least))

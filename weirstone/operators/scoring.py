@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from weirstone.functions.fields import sentences, title_key
 from weirstone.operators.lexicon import distinct_hits, total_hits
@@ -60,7 +61,7 @@ def articles(text: Column, pattern: str) -> Column:
     return F.size(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of letters and figures; containment counts 0.85 at least; null without text."""
     from difflib import SequenceMatcher
