@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weirstone.llm.spread import bounded_sample
 
-#: Values the classifier is trained on at most; hash buckets; the share of values from which on a segment is frame; body segments kept for training.
+#: Values the classifier is trained on at most (and a third as many that hold a phrase); hash buckets; the share of values from which on a segment is frame; body segments kept for training.
 SAMPLE, BUCKETS, SHARED, BODY_KEPT = 6_000, 1 << 15, 0.004, 12_000
 BODY, FRAME, RESIDUE = 0, 1, 2
 
@@ -155,7 +155,11 @@ def train(segs: list[str], titles: list[str], labels: np.ndarray, steps: int = 8
 def _sample(df: DataFrame, fields: list[str], title: str, source: str, url: str, sample: int) -> list[tuple]:
     """At most ``sample`` (value, title, source, host), chosen by a hash: the only rows that reach the driver."""
     long = df.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("v"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("s"), F.coalesce(F.regexp_extract(F.lower(F.col(url)), "^[a-z]+://([^/?#]+)", 1), F.lit("")).alias("h"))
-    return [tuple(r) for r in bounded_sample(long, ["v", "t"], sample, F.length("v") > 0).toLocalIterator()]
+    rows = [tuple(r) for r in bounded_sample(long, ["v", "t"], sample, F.length("v") > 0).toLocalIterator()]
+    # Residue is rare: short values with a phrase in them make a sample of their own, again of bounded size.
+    likely = F.length("v").between(1, 400) & F.col("v").rlike("(?im)" + _PHRASES.pattern)
+    more = bounded_sample(long, ["v", "t"], max(1, sample // 3), likely, wide=50)
+    return list(dict.fromkeys([*rows, *(tuple(r) for r in more.toLocalIterator())]))
 
 
 def _training(rows: list[tuple]) -> tuple[list[str], list[str], np.ndarray]:
