@@ -134,6 +134,32 @@ def test_shared_spans(spark, rare):
     assert shared_spans.shared_spans(df.limit(0), span=40).count() == 0
 
 
+@pytest.mark.parametrize("rare", [1, 12])
+def test_passages_link_every_text_of_a_frequent_passage(spark, rare):
+    r = random.Random(11)
+    make = lambda n: "".join(r.choice("水文站监测数据abc 🙂é") for _ in range(n))
+    quote, other = make(90), make(60)
+    docs = [(i, make(50) + quote + make(r.randint(0, 80)) + (other + make(9) if i % 3 else "") + (quote if i % 7 == 0 else "")) for i in range(20, 45)]
+    docs += [(0, None), (1, ""), (2, "哈" * 500), (3, "哈" * 300), (4, make(70) + (make(5) + docs[0][1][60:110]) * 20), (5, docs[0][1]), (6, make(300))]
+    text = dict(docs)
+    rows = shared_spans.fuzzy_passages(spark.createDataFrame(docs, "doc_id long, text string"), span=40, rare=rare).collect()
+    assert len(rows) == len({tuple(x) for x in rows}) and not any(6 in (x.a, x.b) for x in rows)
+    members = {}
+    for x in rows:
+        assert 0 <= x.a_start < x.a_end <= len(text[x.a]) and 0 <= x.b_start < x.b_end <= len(text[x.b]) and x.a <= x.b
+        assert text[x.a][x.a_start : x.a_start + 20] == text[x.b][x.b_start : x.b_start + 20]
+        if x.passage is None:
+            assert x.a < x.b
+        else:
+            members.setdefault(x.passage, {(x.a, x.a_start, x.a_end)}).add((x.b, x.a_start, x.a_end))
+    linked = {(x.a, x.b) for x in rows if x.a < x.b}
+    for m in members.values():
+        linked |= {(i, j) for i, s, e in m for j, u, v in m if i < j and max(s, u) < min(e, v)}
+    windows = {i: {t[p : p + 40] for p in range(len(t) - 39)} for i, t in docs if t and i != 20}  # 5 is the first copy of 20
+    assert {(i, j) for i in windows for j in windows if i < j and windows[i] & windows[j]} <= linked
+    assert shared_spans.fuzzy_passages(spark.createDataFrame(docs[:0], "doc_id long, text string"), span=40).count() == 0
+
+
 def test_chains_are_collinear_and_whole():
     r = random.Random(2)
     for _ in range(30):

@@ -4,7 +4,7 @@
 2. Seeds: of every ``span`` code points the k-mers that are a window minimum (k = span / 2), so any two
    texts with a common stretch of ``span`` have at least one seed in common inside it. About one
    position in 25 is a seed.
-3. Seeds found in more than one text are joined. Those in at most RARE texts give ordered matches per
+3. Seeds found in more than one text are joined. Those with at most RARE occurrences give ordered matches per
    pair of texts; matches are chained collinearly with gap costs, the best predecessor found in a
    Fenwick tree over the other text's positions. Every match ends in exactly one chain (maybe of one).
    Frequent seeds (a passage quoted everywhere would make all pairs of its texts) aren't paired: the
@@ -33,7 +33,7 @@ from weirstone.llm.spread import spread
 from weirstone.sources.tables import cut
 
 SPAN = 100
-#: A seed in more texts than this isn't paired; its surroundings go to the exact step directly.
+#: A seed with more occurrences than this isn't paired; its surroundings go to the exact step directly.
 RARE = 12
 #: A written table of at most so many rows (a few MB) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 150_000
@@ -196,12 +196,36 @@ def _shared(s: DataFrame) -> DataFrame:
     return s.join(stats, "h")
 
 
-def chained_passages(shared: DataFrame, span: int = SPAN, rare: int = RARE) -> DataFrame:
-    """(a, b, a_start, a_end, b_start, b_end, seeds, matched) of each chain; a < b; ends exclusive."""
-    k = span // 2
+def _rare_matches(shared: DataFrame, rare: int) -> DataFrame:
+    """(a, b, pa, pb), a < b: all matches of the seeds with at most ``rare`` occurrences."""
     both = shared.where(F.col("n") <= rare).groupBy("h").agg(F.collect_list(F.struct("id", "pos")).alias("at"))  # at most ``rare``
     x = both.select("at", F.explode("at").alias("x")).select("x", F.explode("at").alias("y")).where("x.id < y.id")
-    pairs = x.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
+    return x.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
+
+
+def _class_matches(shared: DataFrame, k: int, rare: int) -> DataFrame:
+    """(a, b, pa, pb), a <= b: each occurrence of a seed with more than ``rare`` of them, matched with its first one, in text a.
+
+    Rows grow with the occurrences, not with their pairs; repetition inside the first text gives a = b.
+    Occurrences that overlap (a period) are a run and matched one by one with the first run, over and over.
+    """
+    at = Window.partitionBy("h", "id").orderBy("pos")
+    many = shared.where(F.col("n") > rare).select("h", "id", "pos")
+    many = many.withColumn("run", F.sum(F.when(F.col("pos") - F.lag("pos").over(at) < k, 0).otherwise(1)).over(at))
+    many = many.withColumn("i", F.row_number().over(Window.partitionBy("h", "id", "run").orderBy("pos")) - 1)
+    first = many.where("run = 1").join(many.groupBy("h").agg(F.min("id").alias("a")), "h").where("id = a").select("h", "a", "i", F.col("pos").alias("pa"))
+    x = many.join(first.groupBy("h").agg(F.count("*").alias("size")), "h").select("h", "id", "pos", (F.col("i") % F.col("size")).cast("int").alias("i"))
+    return x.join(first, ["h", "i"]).where("id <> a or pos <> pa").select("a", F.col("id").alias("b"), "pa", F.col("pos").alias("pb"))
+
+
+def chained_passages(shared: DataFrame, span: int = SPAN, rare: int = RARE) -> DataFrame:
+    """(a, b, a_start, a_end, b_start, b_end, seeds, matched) of each chain of rare seeds; a < b; ends exclusive."""
+    return _chains(_rare_matches(shared, rare), span)
+
+
+def _chains(pairs: DataFrame, span: int) -> DataFrame:
+    """Matches (a, b, pa, pb) chained within each (a, b)."""
+    k = span // 2
     pairs = pairs.repartition("a", "b").sortWithinPartitions("a", "b", "pa", "pb")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,12 +344,26 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
 
 
 def fuzzy_passages(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, rare: int = RARE) -> DataFrame:
-    """(a, b, a_start, a_end, b_start, b_end, seeds, identity): chained passages between first copies of texts, through rare seeds."""
+    """(a, b, a_start, a_end, b_start, b_end, seeds, identity, passage): chained passages between first copies of texts.
+
+    Rare seeds give a row for each pair of texts, ``passage`` null. For frequent ones every text that has
+    them is chained against the text with their first occurrence: a is that text, b the member, and
+    ``passage`` ("a:start") the class, a run of overlapping stretches of a. Two members of a class share
+    what their stretches of a have in common, so no pair is lost and none has to be made.
+    """
     texts = _long_texts(df, key, text, span)
     firsts = texts.join(texts.groupBy("t1", "t2").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("id", "text")
-    c = chained_passages(_shared(seeds(spread(firsts), span)), span, rare)
+    shared = cut(_shared(seeds(spread(firsts), span)))
+    pairs = chained_passages(shared, span, rare).withColumn("passage", F.lit(None).cast("string"))
+    members = cut(_chains(_class_matches(shared, span // 2, rare), span))
+    # The classes of a text: its distinct stretches, bounded by its length, in runs that overlap.
+    at = Window.partitionBy("a").orderBy("a_start", "a_end")
+    x = members.select("a", "a_start", "a_end").distinct().withColumn("far", F.max("a_end").over(at.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("g", F.sum(F.when(F.col("far") > F.col("a_start"), 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.select("a", "a_start", "a_end", F.concat_ws(":", "a", F.min("a_start").over(Window.partitionBy("a", "g"))).alias("passage"))
+    c = pairs.unionByName(members.join(x, ["a", "a_start", "a_end"]))
     longest = F.greatest(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
-    return c.select("a", "b", "a_start", "a_end", "b_start", "b_end", "seeds", F.round(F.col("matched") / longest, 4).alias("identity"))
+    return c.select("a", "b", "a_start", "a_end", "b_start", "b_end", "seeds", F.round(F.col("matched") / longest, 4).alias("identity"), "passage")
 
 
 def shared_share(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
