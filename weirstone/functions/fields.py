@@ -144,21 +144,26 @@ def make_summary(text: Column, most: int = 200) -> Column:
 
 
 def chunks(text: Column, most: int = 320, cjk: bool = True) -> Column:
-    """Greedy runs of sentences up to ``most`` characters; a run of several sentences lends its last to the next."""
+    """Greedy runs of sentences up to ``most`` characters; a run of several sentences lends its last to the next.
+
+    Without ``cjk`` a line feed stands between sentences, so that words of two lines don't grow together; it isn't counted.
+    """
+    between = "" if cjk else "\n"
     none = F.array().cast("array<string>")
     folded = F.aggregate(
         sentences(text, cjk), F.struct(none.alias("out"), none.alias("cur"), F.lit(0).alias("n")),
         lambda a, s: F.when(
             (F.size(a["cur"]) > 0) & (a["n"] + F.length(s) > most),
             F.struct(
-                F.concat(a["out"], F.array(F.array_join(a["cur"], ""))).alias("out"),
+                F.concat(a["out"], F.array(F.array_join(a["cur"], between))).alias("out"),
                 F.when(F.size(a["cur"]) > 1, F.array(F.element_at(a["cur"], -1), s)).otherwise(F.array(s)).alias("cur"),
                 (F.when(F.size(a["cur"]) > 1, F.length(F.element_at(a["cur"], -1))).otherwise(0) + F.length(s)).alias("n"),
             ),
         ).otherwise(F.struct(a["out"].alias("out"), F.concat(a["cur"], F.array(s)).alias("cur"), (a["n"] + F.length(s)).alias("n"))),
-        lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(F.array_join(a["cur"], "")))).otherwise(a["out"]),
+        lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(F.array_join(a["cur"], between)))).otherwise(a["out"]),
     )
-    return F.when(F.size(folded) > 0, folded).when(F.length(text) > 0, F.array(text)).otherwise(none)
+    # Through a lambda, so that the fold is run once.
+    return F.element_at(F.transform(F.array(folded), lambda x: F.when(F.size(x) > 0, x).when(F.length(text) > 0, F.array(text)).otherwise(none)), 1)
 
 
 def tokens(text: Column) -> Column:

@@ -7,42 +7,63 @@ the scan of a stored index) and aggregates by chunk; document frequencies are co
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirstone.functions.fields import chunks, sentences, tokens
+from weirstone.sources.tables import cut
 
 CANDIDATES, K1, B, FUSION = 200, 1.5, 0.75, 60
 
 
+#: A written table of at most so many terms is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def postings(c: DataFrame) -> DataFrame:
+    """chunks -> (chunk_id, dl, term, tf)."""
+    return c.select("chunk_id", "dl", F.explode(tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
 @dataclass
 class Index:
     chunks: DataFrame
     postings: DataFrame
+    found: dict = field(default_factory=dict)
 
     @classmethod
     def build(cls, df: DataFrame, seq: str, text: Column, most: int = 320, cjk: bool = True) -> Index:
-        """chunk_id is seq * 100000 + position, so that it is the same at every run."""
+        """chunk_id is seq * 100000 + position, so that it is the same at every run. Chunks are cut once and written."""
         c = df.select(F.col(seq).alias("seq"), F.posexplode(chunks(F.coalesce(text, F.lit("")), most, cjk)).alias("p", "text"))
-        c = c.select((F.col("seq") * 100000 + F.col("p")).alias("chunk_id"), "seq", "text", F.length("text").alias("dl"))
-        post = c.select("chunk_id", "dl", F.explode(tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-        return cls(c, post)
+        c = cut(c.select((F.col("seq").cast("long") * 100000 + F.col("p")).alias("chunk_id"), "seq", "text", F.length("text").alias("dl")))
+        return cls(c, postings(c))
 
     def totals(self) -> DataFrame:
         """One row: number of chunks and mean length."""
         return self.chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
+    def hits(self, terms: list[str]) -> DataFrame:
+        """The postings of ``terms``, written once; only texts that hold one of them as a string are taken apart."""
+        key = tuple(sorted(set(terms)))
+        if key not in self.found:
+            low = F.lower("text")
+            some = self.chunks.where(functools.reduce(lambda x, y: x | y, [low.contains(t) for t in key]))
+            self.found[key] = cut(postings(some).where(F.col("term").isin(*key)))
+        return self.found[key]
+
     def frequencies(self, terms: list[str] | None = None) -> DataFrame:
-        p = self.postings if terms is None else self.postings.where(F.col("term").isin(terms))
-        return p.groupBy("term").agg(F.count("*").alias("df"))
+        """(term, df); without ``terms`` of all, each chunk's made distinct inside its row."""
+        t = self.chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")) if terms is None else self.hits(terms)
+        return t.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(index: Index, terms: list[str], most: int = CANDIDATES) -> DataFrame:
     """(chunk_id, score), best first; a chunk's length counts in characters."""
-    hits = index.postings.where(F.col("term").isin(terms))
+    hits = index.hits(terms)
     one = F.broadcast(index.totals())  # one row
     df = F.broadcast(index.frequencies(terms))  # at most one row for each term of the query
     j = hits.join(df, "term").crossJoin(one)
@@ -52,10 +73,17 @@ def bm25(index: Index, terms: list[str], most: int = CANDIDATES) -> DataFrame:
 
 
 def tfidf(index: Index, terms: list[str], most: int = CANDIDATES) -> DataFrame:
-    """(chunk_id, score): cosine of (1 + ln tf) (ln((N - df + 0.5) / (df + 0.5)) + 1); norms take all terms of a chunk that has a hit."""
-    near = index.postings.join(index.postings.where(F.col("term").isin(terms)).select("chunk_id").distinct(), "chunk_id", "left_semi")
+    """(chunk_id, score): cosine of (1 + ln tf) (ln((N - df + 0.5) / (df + 0.5)) + 1); norms take all terms of a chunk that has a hit.
+
+    The chunks with a hit are dealt out by id once, so their terms are counted and added up in place.
+    Terms of one chunk alone aren't looked up: what the table of frequencies lacks has df 1.
+    """
+    ids = index.hits(terms).select("chunk_id").distinct()
+    near = postings(index.chunks.select("chunk_id", "dl", "text").join(ids, "chunk_id", "left_semi").repartition("chunk_id"))
     one = F.broadcast(index.totals())
-    w = near.join(index.frequencies(), "term").crossJoin(one).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1).withColumn("w", (1 + F.ln(F.col("tf").cast("double"))) * F.col("idf"))
+    many = cut(index.frequencies().where("df > 1"))
+    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    w = near.join(many, "term", "left").withColumn("df", F.coalesce("df", F.lit(1))).crossJoin(one).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1).withColumn("w", (1 + F.ln(F.col("tf").cast("double"))) * F.col("idf"))
     counts = {t: terms.count(t) for t in terms}
     q = F.coalesce(*[F.when(F.col("term") == t, 1 + F.ln(F.lit(float(n)))) for t, n in counts.items()], F.lit(0.0)) * F.col("idf")
     per = w.groupBy("chunk_id").agg(F.sum(F.col("w") * q).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -80,9 +108,9 @@ def search(index: Index, records: DataFrame, terms: list[str], keep: Column, boo
     return hits.where(keep).select("chunk_id", "seq", F.round(F.col("rrf") * boost, 6).alias("score")).orderBy(F.desc("score"), F.desc("chunk_id")).limit(most)
 
 
-def answer(index: Index, hits: DataFrame, terms: list[str], most: int = 5) -> DataFrame:
-    """(sentence, overlap, rank): sentences of the hits by shared tokens, then length; the same beginning once."""
-    s = index.chunks.join(F.broadcast(hits.select("chunk_id", "score")), "chunk_id").select("chunk_id", F.posexplode(sentences(F.col("text"))).alias("p", "sentence"))
+def answer(index: Index, hits: DataFrame, terms: list[str], most: int = 5, cjk: bool = True) -> DataFrame:
+    """(sentence, overlap, rank): sentences of the hits by shared tokens, then length; the same beginning once. ``cjk`` as the index was built."""
+    s = index.chunks.join(F.broadcast(hits.select("chunk_id", "score")), "chunk_id").select("chunk_id", F.posexplode(sentences(F.col("text"), cjk)).alias("p", "sentence"))
     s = s.withColumn("overlap", F.size(F.array_intersect(F.array(*[F.lit(t) for t in dict.fromkeys(terms)]), tokens(F.col("sentence"))))).where("overlap > 0")
     first = Window.partitionBy(F.substring("sentence", 1, 20)).orderBy(F.desc("overlap"), F.desc(F.length("sentence")), F.desc("chunk_id"), "p")
     s = s.withColumn("r", F.row_number().over(first)).where("r = 1").orderBy(F.desc("overlap"), F.desc(F.length("sentence")), F.desc("chunk_id"), "p").limit(most)

@@ -117,16 +117,16 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> retrieval.Index:
-    """Whole records as one chunk each, so that the SQL can say the same."""
-    return retrieval.Index.build(table(spark, d, "kb").select("seq", "title", "summary"), "seq", F.concat_ws(" ", F.col("title"), F.col("summary")), most=1 << 30, cjk=False)
+    """Contents, or summaries where there is none, in chunks of the usual size; words stay apart."""
+    return retrieval.Index.build(table(spark, d, "kb").select("seq", "content", "summary"), "seq", F.coalesce(F.nullif("content", F.lit("")), "summary"), cjk=False)
 
 
 def _chunks(spark: SparkSession, d: str) -> retrieval.Index:
+    """Titles and summaries as one chunk each, as the SQL has it."""
     k = table(spark, d, "kb").select("seq", "title", "summary")
     text = F.concat_ws(" ", F.col("title"), F.col("summary"))
     c = k.select((F.col("seq") * 100000).alias("chunk_id"), "seq", text.alias("text"), F.length(text).alias("dl"))
-    post = c.select("chunk_id", "dl", F.explode(fields.tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return retrieval.Index(c, post)
+    return retrieval.Index(c, retrieval.postings(c))
 
 
 def _terms() -> list[str]:
@@ -165,11 +165,27 @@ def rrf_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search(_chunks(spark, d), k, _terms(), F.col("quality").isin("A", "B"), F.when(F.col("department") == "水利", 1.6).otherwise(1.0), 12)
 
 
+@query()
+def bm25_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(_index(spark, d), list(dict.fromkeys(_terms())))
+
+
+@query()
+def tfidf_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.tfidf(_index(spark, d), _terms())
+
+
+@query()
+def rrf_chunks(spark: SparkSession, d: str) -> DataFrame:
+    k = kb(spark, d, "department", "quality")
+    return retrieval.search(_index(spark, d), k, _terms(), F.col("quality").isin("A", "B"), F.when(F.col("department") == "水利", 1.6).otherwise(1.0), 12)
+
+
 @query()
 def ask_sentences(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
     hits = retrieval.search(index, kb(spark, d, "quality"), _terms(), F.lit(True), F.lit(1.0), 6)
-    return retrieval.answer(index, hits, _terms())
+    return retrieval.answer(index, hits, _terms(), cjk=False)
 
 
 @query(f"SELECT count(*) AS records, count_if(content_fetched) AS fetched, count_if(coalesce(content, '') <> '') AS with_content, sum(length(content))::BIGINT AS chars FROM kb")
