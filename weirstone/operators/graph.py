@@ -30,10 +30,26 @@ def edges(found: DataFrame, least: int = 2) -> DataFrame:
     return pairs.groupBy("s", "t").agg(F.count("*").alias("w")).where(F.col("w") >= least)
 
 
+def _trie(words: list[str]) -> str:
+    """A Java pattern that matches the longest of the words, which are sorted and distinct; a branch for each next character."""
+    out, rest = [], [w for w in words if w]
+    for c in dict.fromkeys(w[0] for w in rest):
+        tails = [w[1:] for w in rest if w[0] == c]
+        literal = "\\" + c if c.isascii() and not c.isalnum() else c
+        out.append(literal + (_trie(tails) if any(tails) else ""))
+    return ("|".join(out) if len(out) == 1 and len(rest) == len(words) else "(?:" + "|".join(out) + ")" + ("?" if len(rest) < len(words) else "")) if out else ""
+
+
 def mentions(titles: DataFrame, cores: DataFrame) -> DataFrame:
-    """(core, n): titles that contain a core name and aren't it. ``cores`` is a vocabulary; a title's substrings are joined by equality instead of comparing all pairs.
+    """(core, n): distinct titles (or whole texts) that contain a core name and aren't it, of any length.
 
-    Cores have between 3 and 24 characters; longer or shorter ones are left out.
+    ``cores`` is a vocabulary and comes to the driver; its names become one pattern, tried at every
+    position of a text. That gives the longest name there, and every other one there is a beginning of it.
     """
-    grams = titles.select("title", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(3), F.least(F.lit(24), F.length("title"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("title") - n + 1), lambda i: F.col("title").substr(i, n)))))).alias("core")).where("core <> title")
-    return grams.join(cores.where(F.length("core").between(3, 24)).select("core").distinct(), "core").groupBy("core").agg(F.count_distinct("title").alias("n"))
+    names = sorted(r[0] for r in cores.where("core <> ''").select("core").distinct().collect())
+    if not names:
+        return titles.select(F.lit("").alias("core"), F.lit(0).cast("long").alias("n")).limit(0)
+    begins = F.create_map(*[x for n in names for x in (F.lit(n), F.array(*[F.lit(m) for m in names if n.startswith(m)]))])
+    longest = F.array_distinct(F.regexp_extract_all("title", F.lit(f"(?=({_trie(names)}))"), F.lit(1)))
+    found = titles.select("title", F.explode(F.array_distinct(F.flatten(F.transform(longest, lambda x: begins[x])))).alias("core")).where("core <> title")
+    return found.select("core", F.xxhash64("title").alias("t1"), F.xxhash64(F.lit(3), "title").alias("t2")).distinct().groupBy("core").agg(F.count("*").alias("n"))

@@ -217,7 +217,14 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 def title_mentions(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "kb")
     titles = k.select("title").unionByName(k.where(F.length("content").between(4, 300)).select(F.col("content").alias("title"))).where(F.length("title") >= 3)
-    return graph.mentions(titles, table(spark, d, "sites").select(F.col("name").alias("core")))
+    return graph.mentions(titles, table(spark, d, "sites").where(F.length("name").between(3, 24)).select(F.col("name").alias("core")))
+
+
+@query("SELECT s.name AS core, count(DISTINCT k.title) AS n FROM (SELECT DISTINCT name FROM sites WHERE name <> '') s JOIN (SELECT title FROM kb UNION ALL SELECT content AS title FROM kb) k ON contains(k.title, s.name) AND k.title <> s.name GROUP BY s.name")
+def text_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Like title_mentions, over titles and contents of every length and all names."""
+    k = table(spark, d, "kb")
+    return graph.mentions(k.select("title").unionByName(k.select(F.col("content").alias("title"))), table(spark, d, "sites").select(F.col("name").alias("core")))
 
 
 @query(f"""WITH x AS (SELECT seq, lower({_TEXT}) AS b FROM kb), c AS ({' UNION ALL '.join(f"SELECT seq, {i} AS o, {_sql(n)} AS term, CAST((length(b) - length(replace(b, {_sql(n)}, ''))) / {len(n)} AS INT) AS n FROM x" for i, (_, n) in enumerate(_VOC))}),
