@@ -14,13 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    It is read from the session. Only where it is unset (tests on one machine) a temporary
-    folder is made and set.
+    Only a local session, whose executors are this very process, may lack it: it gets a temporary
+    folder. On a cluster a missing setting is an error, since no other machine could read that folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="weirstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -37,3 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for a table in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{os.urandom(6).hex()}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut``, as a compressed table of columns: for rows that are read more than once, in part."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
