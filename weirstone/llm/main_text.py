@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.residue import _PHRASES, SLOT
+from weirstone.llm.residue import PHRASES, candidates, slot_label
 
 #: A line in this share of all records (and at least FEW of them) is common; from this share of followers on it is a heading.
 COMMON, FEW, LEADS = 0.002, 4, 0.6
@@ -76,7 +76,7 @@ def _about(s: str) -> tuple[bool, bool]:
     if next(_hints().iter(low), None) is None:
         return False, False
     words = bool(_WORDS.search(low))
-    return words, bool(_PHRASES.search(low) or SLOT.search(s))
+    return words, bool(PHRASES.search(low)) or any(slot_label(*c) == 1 for c in candidates(s))
 
 
 def _flat(s: str) -> str:

@@ -118,6 +118,15 @@ WITH l AS (SELECT seq, coalesce(source, '') AS source, unnest(string_split(conte
 k AS (SELECT seq, source, line_no, lower(translate(regexp_replace(line, '[\\s\\x{{3000}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}]', '', 'g'), '{_WIDE}', '{_NARROW}')) AS k FROM l),
 r AS (SELECT source, k FROM k WHERE length(k) >= 10 GROUP BY ALL HAVING count(DISTINCT seq) >= 5)
 SELECT seq, line_no FROM k JOIN r USING (source, k)""",
+    "p4_clean": f"""
+WITH l AS (SELECT seq, coalesce(source, '') AS source, unnest(string_split(content, chr(10))) AS line,
+                  generate_subscripts(string_split(content, chr(10)), 1) AS line_no
+           FROM kb WHERE pdf IS NULL AND content IS NOT NULL),
+k AS (SELECT *, lower(translate(regexp_replace(line, '[\\s\\x{{3000}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}]', '', 'g'), '{_WIDE}', '{_NARROW}')) AS k FROM l),
+r AS (SELECT source, k FROM k WHERE length(k) >= 10 GROUP BY ALL HAVING count(DISTINCT seq) >= 5),
+t AS (SELECT seq, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE r.k IS NULL), '') AS content, CAST(count(r.k) AS INT) AS removed
+      FROM k LEFT JOIN r ON k.source = r.source AND k.k = r.k GROUP BY seq)
+SELECT seq, CASE WHEN t.seq IS NULL THEN kb.content ELSE t.content END AS content, coalesce(removed, 0) AS removed FROM kb LEFT JOIN t USING (seq) WHERE pdf IS NULL""",
     "p8_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p10_share": """
 WITH d AS (SELECT doc_id, text, coalesce(length(text), 0) AS n FROM documents),

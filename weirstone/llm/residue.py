@@ -1,12 +1,20 @@
 """Problem 1: error pages, script notices, filler and unfilled templates in place of content.
 
 A value is cut into segments (lines, then sentences). An L2-regularised linear classifier over hashed
-character n-grams, length and title features puts each into one of three classes: body, frame (the
-page around it) or residue. It is trained on a bounded sample with weak labels: phrases of response
-pages, fill texts and placeholders; lines that very many values share are frame; the rest is body, as are
-sentences that report on such pages. ``validate`` gives its agreement with the weak labels on hosts that
-were kept out of training. A value is a case if residue makes up its text apart from the frame, or if a
-slot was left unfilled in its text.
+character n-grams, length and title features puts each into one of three classes: body, frame (the page
+around it) or residue. Its weak labels come from response statuses (every reason phrase of HTTP, as such
+pages word it) and from families of phrases, read in their context: a phrase that makes up its value is
+residue, the same phrase among sentences of an article is body, so that reports on such pages are learnt
+as what they are. A second classifier of the same kind judges slot candidates (bracketed words, runs of
+blanks, marks around a name) by n-grams of what they hold, their delimiters, shape and neighbours; its weak
+labels are forms of template languages and instructions on the one side, numbers, one-letter variables
+and ordinary remarks in brackets on the other. Candidates of no listed form are left to the classifier.
+
+The threshold of either is set on hosts that were kept out of training, where it agrees best with the weak
+labels, precision counting twice as much as recall. ``validate`` reports the agreement on such hosts, and ``validate_families`` how
+much of a family of phrases is found by a model that was trained without it.
+
+A value is a case if residue makes up its text apart from the frame, or if it holds an unfilled slot.
 
 Defined results: null, empty and blank values are no cases; very long values are read whole; repeated
 rows are each reported; ties between classes go to body.
@@ -17,8 +25,10 @@ from __future__ import annotations
 import pickle
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import numpy as np
 import pyarrow as pa
@@ -31,34 +41,85 @@ from weirstone.llm.spread import bounded_sample
 SAMPLE, BUCKETS, SHARED, BODY_KEPT = 6_000, 1 << 15, 0.004, 12_000
 BODY, FRAME, RESIDUE = 0, 1, 2
 
-# Phrases of error, access, script and loading pages, of filler text and of template texts.
-_PHRASES = re.compile(
-    "|".join(
-        [
-            "(?:页面|网页|内容|文章|资源|链接|系统).{0,14}(?:不存在|搬家|移除|没有找到|找不到|已过期|已失效|撤回|删除)", "找不到 ?[#/]", "很遗憾", "^抱歉", "(?:文章|稿件|文档|内容).{0,12}(?:发布者删除|仅对|会员权限|不予显示)", "无法(?:查看|阅读|渲染|呈现|显示|打开)", "仅展示标题", "登录状态", "(?:请|需)(?:先)?(?:重新)?登录", "重新登录",
-            "请.{0,14}(?:重试|刷新|返回|稍候|稍后|启用|核对|更换|检查网络|休息片刻|重新进入|再来查看|滑块|图形验证|敬请谅解)", "加载中", "正在(?:转换|升级|维护|抢修|加载|跳转)", "开小差", "内部错误", "连接失败", "自动跳转", "校验(?:后|通过前)", "敬请(?:谅解|期待)", "尚未发布", "暂无数据", "栏目建设中", "错误类型", "网关(?:超时|未能)", "上游响应", "无响应请", "需要脚本支持", "禁用了脚本", "内核版本较旧", "请求的资源不在", "代码四〇四",
-            "could not be (?:located|found|loaded)", "looked everywhere", "^sorry,", "not found", "no longer exists?", "(?:link|session|page).{0,40}(?:has expired|was typed)", "removed by its owner", "timed out", "did not answer", "(?:service|page|content).{0,20}unavailable", "unexpected error", "do(?:es)? not have permission", "(?:log|sign) in (?:to|again)", "(?:turn on|enable).{0,12}(?:script|javascript)", "enable it and refresh", "script-capable", "too many requests", "retry later", "not a robot", "connection is secure", "takes a few seconds", "temporarily offline", "please wait", "loading content", "refused the request", r"http [45]\d\d", "access denied", "engineers were notified", "reference code attached",
-            "lorem ipsum", "ut enim ad minim", "consectetur", "dolor (?:sit|aqu)", "aqua flumen", "nimbus ros", "占位", "示例段落", "排版占位", "没有实际含义", "(?:测试){2}", "请勿发布", "请输入正文", "这里填写", "待录入", "sample text", "dummy copy", "replace this paragraph", "of \\S+ goes here", "栏目标题示例", "^文章标题$", "^作者姓名$", r"^\[object object\]$", "^(?:undefined|null|nan)$", "^【模板】", "【摘要内容】", r"^template #?\S+$", "^draft [0-9a-f.]+:",
-            "server (?:error|busy)", "internal error", "(?:^|\\W)error \\d{3}", "页面出错", "访问(?:被拒绝|过于频繁)", "浏览得太快", "访问请求存在异常",
-        ]
-    )
+_REASONS = [s.phrase.lower() for s in HTTPStatus if s >= 400]
+# Families of phrases by which pages without content are worded. They give weak labels only.
+FAMILIES = {
+    "status": r"(?:error|http|status|code)\W{0,3}[45]\d\d\b|\b[45]\d\d\W{1,3}(?:error|" + "|".join(map(re.escape, _REASONS)) + r")|^(?:" + "|".join(map(re.escape, _REASONS)) + r")\W*$|internal (?:server )?error|unexpected error|内部错误|页面出错|错误类型|网关|did not answer|refused the request|timed out|响应超时|连接失败",
+    "missing": r"(?:页面|网页|内容|文章|资源|链接|文档|栏目).{0,16}(?:不存在|搬家|移除|没有找到|找不到|过期|失效|撤回|删除|尚未发布)|找不到|没有找到|不在此服务器|(?:page|link|item|content|file|article)\b.{0,40}(?:not found|no longer|missing|has expired|(?:was|been|be) (?:removed|deleted|moved|located|found))|could not be (?:located|found|loaded)|we looked everywhere|typed incorrectly|^\W*sorry\b|^\W*抱歉|很遗憾",
+    "access": r"(?:请|需)(?:先|要)?(?:重新)?登录|登录状态|会员权限|无法(?:查看|阅读|打开)|仅对.{0,12}开放|权限设置|(?:log|sign) ?in (?:to|again)|members only|do(?:es)? not have permission|access (?:is )?denied|subscription required|访问被拒绝",
+    "challenge": r"not a robot|connection is secure|too many requests|retry later|验证码|图形验证|滑块|自动抓取|访问(?:过于频繁|请求存在异常)|浏览得太快|complete the (?:puzzle|captcha)",
+    "script": r"(?:turn on|enable|requires?|supports?).{0,24}(?:script|javascript)|script-capable|(?:需要|禁用了?|启用|不支持).{0,6}脚本|浏览器.{0,10}(?:版本|较旧|启用|升级)",
+    "loading": r"加载中|正在(?:加载|跳转|转换|升级|维护|抢修)|升级维护|开小差|请(?:稍候|稍后)|敬请(?:谅解|期待)|暂无数据|建设中|^\W*loading\b|please wait|temporarily (?:offline|unavailable)|(?:service|page|content).{0,20}unavailable|back (?:soon|shortly)|under maintenance",
+    "filler": r"lorem ipsum|dolor sit amet|consectetur|ut enim ad minim|sample text|dummy (?:copy|text)|placeholder|replace this (?:text|paragraph)|goes here|占位|示例(?:段落|文字|文本)|没有实际含义|(?:测试){2}|请勿发布|请输入正文|待录入|^文章标题$|^作者姓名$|正文内容",
+    "literal": r"^\W*(?:\[object object\]|undefined|null|nan|none|template|【模板】)\W*$",
+}
+PHRASES = re.compile("|".join(f"(?:{p})" for p in FAMILIES.values()))
+#: Texts of response pages as servers write them, and reports that name the same statuses: training segments that need no sample.
+STATUS_TEXTS = [t for s in HTTPStatus if s >= 400 for t in (f"{s.value} {s.phrase}", f"{s.phrase}", f"HTTP Error {s.value}: {s.phrase}", f"{s.value} {s.phrase} nginx", f"Error {s.value}. {s.phrase}.")]
+STATUS_TEXTS += [f.format(x) for x in ("page", "article", "link", "document", "file", "content") for f in ("{} not found", "{} missing", "This {} is unavailable.", "The {} you requested no longer exists.", "This {} has been removed.", "Please sign in to read this {}.", "Loading {}, please wait...")]
+STATUS_TEXTS += [f.format(x) for x in ("页面", "文章", "链接", "文档", "内容") for f in ("{}不存在", "您访问的{}不存在或已删除。", "{}无法访问，请稍后再试", "{}加载失败，请刷新重试", "请登录后查看{}")]
+REPORT_TEXTS = [t for i, s in enumerate(HTTPStatus) if s >= 400 for t in (f"The log of the station portal lists {37 * i} requests that ended in {s.value} {s.phrase} between {1990 + i % 30} and {2000 + i % 25}.", f"In 20{i % 25:02d}, {11 * i} users reported error {s.value} ({s.phrase.lower()}), and all were answered.", f"运行日志显示，第{i}周平台共返回{s.value}状态{29 * i}次，较上月减少{i % 9}次。")]
+REPORT_TEXTS += [f.format(x, 13 * i + 5) for i, x in enumerate(("页面", "文章", "链接", "文档", "内容", "登录", "脚本", "升级")) for f in ("本月共收到“{}不存在”类反馈{}件，均已处理。", "第二季度{}异常共{}次，经维护后恢复正常。", "问卷显示，{}加载缓慢的情况占{}%。")]
+
+# What may be a slot at all: bracketed words, names between doubled marks, blanks, words for no value.
+_VOID = r"(?:undefined|null|NaN|None|%[sd])"
+CANDIDATE = re.compile(
+    r"[$#%@]?[{｛]{1,2}[^{}｛｝\n]{0,40}[}｝]{1,2}|%\([^()\n]{1,30}\)[sdrf]|<%[^%\n]{0,60}%>|\[{1,2}[^\[\]\n]{1,40}\]{1,2}|【[^【】\n]{1,30}】|[<＜〈][^<>＜＞〈〉\n]{1,40}[>＞〉]|[(（][^()（）\n]{1,30}[)）]|(?<![〔0-9])[×Xx]{2,}[〔\[（(][^〔〕\[\]()（）\n]{2,6}[〕\]）)]|〔[^〔〕\n]{1,20}〕"
+    rf"|([%@#_＿~])\1[A-Za-z][\w ]{{1,30}}\1\1|[_＿]{{2,}}(?:TODO|TBD)?|[×Xx]{{2,}}年[×Xx]{{1,2}}月(?:[×Xx]{{1,2}}日)?|(?<![A-Za-z0-9])[×Xx]{{2,}}(?![A-Za-z0-9])|\b{_VOID}(?:[年月日/:.\-](?:{_VOID}|\d+)?)+|(?<!\d)%[sd]|\bT\.?B\.?[DC]\b\.?|\bTODO\b"
 )
-# Forms of slots.
-SLOT = re.compile(
-    r"\{\{[^{}\n]{1,40}\}\}|\$\{[^{}\n]{1,40}\}|#\{[^{}\n]{1,40}\}|<%=?[^%\n]{1,60}%>|%%[A-Za-z_]{2,40}%%|\[\[[^\[\]\n]{1,30}\]\]|\{[A-Za-z_一-鿿][\w一-鿿]{1,29}\}"
-    r"|[\[【<〈](?:此处|这里|请|待)?(?:插入|填写|填入|补充|输入)[^\]】>〉\n]{0,20}[\]】>〉]|[\[【<〈](?:联系|单位|日期|姓名|作者|部门|地点|地址|电话|会议|标题|摘要|正文|附件|名称|要点)[一-鿿]{0,6}[\]】>〉]"
-    r"|\[(?:INSERT|Insert|insert|TBD|TBC|TODO|YOUR|Your|ADD|PLACEHOLDER|DATE|NAME|VALUE)\b[^\]\n]{0,30}\]|[_＿]{2,}(?:[（(][^（）()\n]{1,12}[)）]|TODO_*|TBD_*|(?=[，。；]))|[（(](?:待补充|待填写?|待完善|待核实|待定|此处填写[^）)\n]{0,10})[)）]|[Xx×]{2,4}年[Xx×]{1,2}月|[×Xx]{2,}[〔\[（(](?:20)?[×Xx]{2,4}[〕\]）)]|(?:undefined|null|NaN|None|%s)(?:年|月|日|/|-)(?:undefined|null|NaN|None|%s|\d)|\bT\.?B\.?D\b|__TODO__|\b(?:XX|xx)(?:单位|局|市|县|河|公司)"
-)
-# Marks of sentences that report on such pages or forms.
-_REPORTS = re.compile(r"工单|附录|月均|收录|数据有效|均已修复|适配机型|\d+ (?:tickets|valid readings|layers)|公式中|\bclosed \d|\breported \d|\bshows \d")
+# Words that tell the writer to put something in.
+_ORDER = re.compile(r"insert|\badd\b|\bfill|\benter\b|\byour\b|\btb[dc]\b|to ?do\b|placeholder|to be (?:added|completed|confirmed|determined|inserted|supplied)|待(?:补充|填|完善|核实|定|录|确认)|(?:请|此处|这里).{0,3}(?:插入|填|补|输入)|^(?:插入|填写|填入|补充|输入)", re.I)
+# Names of the parts a form asks for.
+_PART = re.compile(r"^(?:联系|单位|日期|姓名|作者|部门|地点|地址|电话|会议|标题|摘要|正文|附件|名称|要点)[一-鿿]{0,6}$|^(?:DATE|NAME|VALUE|UNIT|TITLE|AUTHOR|ADDRESS|YEAR)\b", re.I)
 _SPLIT = re.compile(r"\n|(?<=[。！？!?])|(?<=[a-z)]\.) (?=[A-Z])")
-_LINKS = re.compile(r"[|｜»›>]|\s{2,}|　|】\s*【|^[·•\-]\s|\[\d\d-\d\d\]$")
+_LINKS = re.compile(r"[|｜»›>]|\s{2,}|　|】\s*【|^[·•\-]\s|^\d{1,2}[.、)]\s?[^\d\s][^。.!?！？]*$|\[\d\d-\d\d\]$")
+
+
+def slot_label(s: str, before: str, after: str) -> int:
+    """Weak label of a candidate: 1 by a form of template languages or an instruction, 0 by an ordinary form, -1 if neither is known."""
+    inner = s.strip("{}｛｝[]【】<>＜＞〈〉()（）〔〕$#%@_＿~= ").strip()
+    if re.fullmatch(r"[$#%@]?\{\{.*\}\}|[$#@]\{.*\}|<%.*%>|%\(.*\)[sdrf]|([%@#_＿~])\1[A-Za-z].*\1\1|\[\[.*\]\]|\{\d{1,2}\}", s):
+        return 1
+    if _ORDER.search(inner) or _PART.search(inner) and s[0] in "[<【〈":
+        return 1
+    if re.fullmatch(rf"[_＿]{{2,}}.*|[×Xx]{{2,}}.*|{_VOID}([年月日/:.\-]({_VOID}|\d+)?)+|%[sd]|T\.?B\.?[DC]\.?|TODO", s):
+        return 1
+    if re.fullmatch(r"[A-Za-z一二三四五六七八九十]|[\d\s.,:/~–—+\-年月日第期号卷页条部分]+|[A-Z][A-Za-z\d₂-₉]{0,6}", inner):
+        return 0
+    return 0 if s[0] in "(（〔【" else -1
+
+
+#: Candidates as template languages and formulas write them: training cases that need no sample.
+_FIELDS = "name title date year month author unit place value station address number content summary email phone site_name user.name FIGURE_REF 单位名称 日期 联系电话".split()
+SLOT_TEXTS = [(f.format(w), p, n) for w in _FIELDS for f in ("{{{{{}}}}}", "{{{{ {} }}}}", "${{{}}}", "#{{{}}}", "<%= {} %>", "%%{}%%", "@@{}@@", "__{}__", "[[{}]]", "%({})s", "{{{}}}") for p, n in ((" ", " "), ("，", "在"))]
+NO_SLOT_TEXTS = [(f.format(w), p, n) for w in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" for f in ("{{{}}}", "[{}]", "<{}>") for p, n in ((" ", " "), ("中", "取"))]
+
+
+def slot_features(found: list[tuple[str, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(index, bucket) of the features of candidates (text, character before, character after)."""
+    at, buckets = [], []
+    for i, (s, p, n) in enumerate(found):
+        m = re.match(r"(?s)([\W_]*)(.*?)([\W_]*)$", s)
+        opens, inner, shuts = m.groups()
+        low = "\x02" + re.sub(r"\d", "0", inner.lower())[:60] + "\x03"
+        shape = re.sub(r"(.)\1+", r"\1", "".join("0" if c.isdigit() else "汉" if "一" <= c <= "鿿" else "A" if c.isupper() else "a" if c.isalpha() else c for c in inner))[:20]
+        kind = lambda c: "^" if not c or c == "\n" else "0" if c.isdigit() else "汉" if "一" <= c <= "鿿" else "a" if c.isalpha() else c
+        fs = {f"o{opens}", f"c{shuts}", f"d{opens[-2:]}{shuts[:2]}", f"s{shape}", f"S{opens}{shape}", f"l{min(len(inner), 12)}", f"p{kind(p)}", f"n{kind(n)}", f"D{opens}{shuts}l{len(inner) < 2}", *(f"g{low[a : a + k]}" for k in (2, 3) for a in range(len(low) - k + 1))}
+        hs = {zlib.crc32(f.encode("utf-8", "replace")) % BUCKETS for f in fs}
+        at += [i] * len(hs)
+        buckets += hs
+    return np.array(at, np.int64), np.array(buckets, np.int64)
 
 
 def segments(text: str) -> list[str]:
     return [s for s in (x.strip() for x in _SPLIT.split(text)) if s]
 
 
+def candidates(text: str) -> list[tuple[str, str, str]]:
+    """(candidate, character before, character after)."""
+    return [(m.group(), text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]) for m in CANDIDATE.finditer(text)]
+
+
 def _plain(s: str) -> str:
     return unicodedata.normalize("NFKC", s).lower()
 
@@ -85,28 +146,15 @@ def features(segs: list[str], titles: list[str]) -> tuple[np.ndarray, np.ndarray
         at.append(owner[: len(h)][keep])
     size = np.minimum(np.log2(lengths).astype(np.int64), 11) + (BUCKETS - 64)
     titled = np.array([BUCKETS - 50 + (2 if t and t in s else 1 if t and s in t else 0) for s, t in zip(segs, titles)], np.int64)
-    slot = np.array([BUCKETS - 40 + bool(SLOT.search(s)) for s in segs], np.int64)
+    slot = np.array([BUCKETS - 40 + _is_slots(s) for s in segs], np.int64)
     linked = np.array([BUCKETS - 38 + bool(_LINKS.search(s)) for s in segs], np.int64)
     every = np.arange(len(segs))
     return np.concatenate([*at, every, every, every, every]), np.concatenate([*[b.astype(np.int64) for b in buckets], size, titled, slot, linked])
 
 
-def weak_labels(segs: list[str], shared: set[str], sources: list[str]) -> np.ndarray:
-    """Class by rule, -1 where the rules say nothing."""
-    out = np.full(len(segs), -1, np.int64)
-    seen = Counter(c for s in segs for c in set(s))
-    rare = {c for c, n in seen.items() if n < 0.002 * len(segs) and not c.isascii()}
-    for i, (s, src) in enumerate(zip(segs, sources)):
-        p = _plain(s)
-        if _REPORTS.search(p):
-            out[i] = BODY
-        elif _PHRASES.search(p) or (m := SLOT.search(s)) and len(m.group()) * 2 > len(s):
-            out[i] = RESIDUE
-        elif _key(s, src) in shared or _LINKS.search(s):
-            out[i] = FRAME
-        elif len(s) >= 12 and (s[-1] in "。.!?！？" or sum(c in rare for c in s) > 0.3 * len(s)):
-            out[i] = BODY  # wrongly decoded text is no residue either
-    return out
+def _is_slots(s: str) -> bool:
+    """Half of the segment or more is made of forms of slots."""
+    return 2 * sum(len(c) for c, p, n in candidates(s) if slot_label(c, p, n) == 1) > len(s)
 
 
 def _key(s: str, source: str) -> str:
@@ -116,40 +164,91 @@ def _key(s: str, source: str) -> str:
     return p if p[-1:] in "。.!?" and not p.startswith("©") else re.sub(r"\d+", "0", p)
 
 
-class ResidueModel:
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights  # (BUCKETS, 3)
+def _sentence(s: str) -> bool:
+    return len(s) >= 20 or len(s) >= 12 and s[-1] in "。.!?！？；;"
 
-    def classify(self, segs: list[str], titles: list[str]) -> np.ndarray:
-        """The class of each segment."""
-        out = []
-        for a in range(0, len(segs), 20_000):
-            at, bucket = features(segs[a : a + 20_000], titles[a : a + 20_000])
-            n = len(segs[a : a + 20_000])
-            count = np.maximum(np.bincount(at, minlength=n), 1)
-            scores = np.stack([np.bincount(at, self.weights[bucket, c], n) / np.sqrt(count) for c in range(3)], 1)
-            out.append(scores.argmax(1))
-        return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-def train(segs: list[str], titles: list[str], labels: np.ndarray, steps: int = 80, l2: float = 1e-4) -> ResidueModel:
-    """Multinomial logistic regression by full-batch gradient steps with momentum; classes weigh the same."""
-    at, bucket = features(segs, titles)
-    n = len(segs)
-    scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=n), 1))
-    value = scale[at]
-    share = np.bincount(labels, minlength=3)
-    weight = np.where(share[labels] > 0, n / (3 * share[labels]), 0) / n
-    w, speed, goal = np.zeros((BUCKETS, 3)), np.zeros((BUCKETS, 3)), np.eye(3)[labels]
-    for _ in range(steps):
-        z = np.stack([np.bincount(at, w[bucket, c] * value, n) for c in range(3)], 1)
+
+def weak_labels(segs: list[str], title: str, source: str, shared: set[str], phrases: re.Pattern = PHRASES) -> list[int]:
+    """Classes of one value's segments by rule, -1 where the rules say nothing.
+
+    A phrase is residue where phrases outweigh the sentences beside them, and body among three or more
+    sentences that have none; between these nothing is said.
+    """
+    kinds = []
+    for s in segs:
+        if _key(s, source) in shared or _LINKS.search(s) and s[-1] not in "。.!?！？" or title and (s in title or title in s):
+            kinds.append("frame")
+        elif phrases.search(_plain(s)) or _is_slots(s):
+            kinds.append("phrase")
+        else:
+            kinds.append("text" if _sentence(s) else "short")
+    phrase = sum(len(s) for s, k in zip(segs, kinds) if k == "phrase")
+    text = sum(len(s) for s, k in zip(segs, kinds) if k == "text")
+    residue, body = phrase > 0 and phrase >= text, kinds.count("text") >= 3 and text >= 4 * phrase or phrase == 0 and text > 0
+    names = {"frame": FRAME, "phrase": RESIDUE if residue else BODY if body else -1, "text": RESIDUE if residue else BODY if body else -1, "short": RESIDUE if residue else -1}
+    return [names[k] for k in kinds]
+
+
+class Linear:
+    """Scores of hashed features by class; weights of shape (BUCKETS, classes)."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def scores(self, at: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
+        count = np.sqrt(np.maximum(np.bincount(at, minlength=n), 1))
+        return np.stack([np.bincount(at, self.weights[bucket, c], n) / count for c in range(self.weights.shape[1])], 1)
+
+
+def train(at: np.ndarray, bucket: np.ndarray, labels: np.ndarray, classes: int, heavy: np.ndarray | None = None, steps: int = 80, l2: float = 1e-4) -> Linear:
+    """Multinomial logistic regression by full-batch gradient steps with momentum.
+
+    Classes weigh the same; the rows marked ``heavy`` together weigh as much as the rest of their class.
+    """
+    n = len(labels)
+    value = (1 / np.sqrt(np.maximum(np.bincount(at, minlength=n), 1)))[at]
+    group = 2 * labels + (0 if heavy is None else heavy.astype(np.int64))
+    share = np.bincount(group, minlength=2 * classes)
+    parts = np.maximum(1, (share.reshape(-1, 2) > 0).sum(1))
+    weight = 1 / (classes * parts[labels] * share[group]) if n else np.empty(0)
+    w, speed, goal = np.zeros((BUCKETS, classes)), np.zeros((BUCKETS, classes)), np.eye(classes)[labels]
+    for _ in range(steps if n else 0):
+        z = np.stack([np.bincount(at, w[bucket, c] * value, n) for c in range(classes)], 1)
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - goal) * weight[:, None]
-        grad = np.stack([np.bincount(bucket, g[at, c] * value, BUCKETS) for c in range(3)], 1) + l2 * w
+        grad = np.stack([np.bincount(bucket, g[at, c] * value, BUCKETS) for c in range(classes)], 1) + l2 * w
         speed = 0.9 * speed - 20.0 * grad
         w = w + speed
-    return ResidueModel(w.astype(np.float32))
+    return Linear(w.astype(np.float32))
+
+
+class ResidueModel:
+    """Two linear classifiers and their thresholds."""
+
+    def __init__(self, text: Linear, slot: Linear, margin: float = 0.0, slot_margin: float = 0.0):
+        self.text, self.slot, self.margin, self.slot_margin = text, slot, margin, slot_margin
+
+    def text_scores(self, segs: list[str], titles: list[str]) -> np.ndarray:
+        out = [np.empty((0, 3))]
+        for a in range(0, len(segs), 20_000):
+            part = segs[a : a + 20_000]
+            out.append(self.text.scores(*features(part, titles[a : a + 20_000]), len(part)))
+        return np.concatenate(out)
+
+    def classify(self, segs: list[str], titles: list[str]) -> np.ndarray:
+        """The class of each segment; residue must be ahead of the others by the margin."""
+        s = self.text_scores(segs, titles)
+        return np.where(s[:, RESIDUE] - s[:, :RESIDUE].max(1) > self.margin, RESIDUE, s[:, :RESIDUE].argmax(1)) if len(s) else np.empty(0, np.int64)
+
+    def slot_scores(self, found: list[tuple[str, str, str]]) -> np.ndarray:
+        """By how much each candidate looks like a slot; equal ones are scored once."""
+        one = list(dict.fromkeys(found))
+        if not one:
+            return np.empty(0)
+        s = self.slot.scores(*slot_features(one), len(one))
+        by = dict(zip(one, s[:, 1] - s[:, 0]))
+        return np.array([by[f] for f in found])
 
 
 def _sample(df: DataFrame, fields: list[str], title: str, source: str, url: str, sample: int) -> list[tuple]:
@@ -157,44 +256,138 @@ def _sample(df: DataFrame, fields: list[str], title: str, source: str, url: str,
     long = df.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("v"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("s"), F.coalesce(F.regexp_extract(F.lower(F.col(url)), "^[a-z]+://([^/?#]+)", 1), F.lit("")).alias("h"))
     rows = [tuple(r) for r in bounded_sample(long, ["v", "t"], sample, F.length("v") > 0).toLocalIterator()]
     # Residue is rare: short values with a phrase in them make a sample of their own, again of bounded size.
-    likely = F.length("v").between(1, 400) & F.col("v").rlike("(?im)" + _PHRASES.pattern)
+    likely = F.length("v").between(1, 400) & F.col("v").rlike("(?im)" + PHRASES.pattern)
     more = bounded_sample(long, ["v", "t"], max(1, sample // 3), likely, wide=50)
     return list(dict.fromkeys([*rows, *(tuple(r) for r in more.toLocalIterator())]))
 
 
-def _training(rows: list[tuple]) -> tuple[list[str], list[str], np.ndarray]:
-    cut = [(s, t, src) for v, t, src, _ in rows for s in segments(v)]
+def _shared(rows: list[tuple]) -> set[str]:
     often: Counter = Counter()
     for v, _, src, _ in rows:
         often.update({_key(s, src) for s in segments(v)})
-    shared = {k for k, c in often.items() if c >= max(4, SHARED * len(rows))}
-    labels = weak_labels([s for s, _, _ in cut], shared, [x for _, _, x in cut])
-    keep, bodies = [], 0
-    for i, y in enumerate(labels):
-        if y == BODY:
-            bodies += 1
-            if bodies > BODY_KEPT and not _REPORTS.search(cut[i][0]):
-                continue
-        if y >= 0:
-            keep.append(i)
-    return [cut[i][0] for i in keep], [cut[i][1] for i in keep], labels[keep]
+    return {k for k, c in often.items() if c >= max(4, SHARED * len(rows))}
+
+
+def _training(rows: list[tuple], phrases: re.Pattern = PHRASES, status: bool = True) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """(segments, titles, labels, whether it is body with a phrase in it); body segments without a phrase up to BODY_KEPT."""
+    shared, segs, titles, labels, near, plain = _shared(rows), [], [], [], [], 0
+    for v, t, src, _ in rows:
+        cut = segments(v)
+        for s, y in zip(cut, weak_labels(cut, t, src, shared, phrases)):
+            report = y == BODY and bool(phrases.search(_plain(s)))
+            if y == BODY and not report:
+                plain += 1
+                if plain > BODY_KEPT:
+                    continue
+            if y >= 0:
+                segs.append(s)
+                titles.append(t)
+                labels.append(y)
+                near.append(report)
+    for more, y in ((STATUS_TEXTS, RESIDUE), (REPORT_TEXTS, BODY)) if status else ():
+        segs, titles, labels, near = segs + more, titles + [""] * len(more), labels + [y] * len(more), near + [y == BODY] * len(more)
+    return segs, titles, np.array(labels, np.int64), np.array(near, bool)
+
+
+def _slot_training(rows: list[tuple]) -> tuple[list[tuple[str, str, str]], np.ndarray]:
+    """Different candidates (numbers made equal) with their labels."""
+    one: dict = {}
+    for v, _, _, _ in rows:
+        for c in candidates(v):
+            key = tuple(re.sub(r"\d+", "0", x) for x in c)
+            if key not in one and (y := slot_label(*c)) >= 0:
+                one[key] = (c, y)
+    return [c for c, _ in one.values()], np.array([y for _, y in one.values()], np.int64)
+
+
+def _fit(rows: list[tuple], phrases: re.Pattern = PHRASES, status: bool = True) -> ResidueModel:
+    segs, titles, y, near = _training(rows, phrases, status)
+    found, z = _slot_training(rows)
+    found, z = found + SLOT_TEXTS + NO_SLOT_TEXTS, np.concatenate([z, np.ones(len(SLOT_TEXTS), np.int64), np.zeros(len(NO_SLOT_TEXTS), np.int64)])
+    return ResidueModel(train(*features(segs, titles), y, 3, near) if segs else Linear(np.zeros((BUCKETS, 3), np.float32)), train(*slot_features(found), z, 2))
+
+
+def _threshold(score: np.ndarray, right: np.ndarray) -> float:
+    """The non-negative threshold of best agreement with ``right``, precision counting twice; 0 if nothing is above 0."""
+    found = np.sort(score[score > 0])
+    best, at = -1.0, 0.0
+    for t in np.concatenate([[0.0], found]):
+        hit = int((right & (score > t)).sum())
+        f = 1.25 * hit / max(1e-9, 0.25 * int(right.sum()) + int((score > t).sum()))
+        if f > best:
+            best, at = f, float(t)
+    return at
+
+
+def _unseen(rows: list[tuple]) -> list[bool]:
+    """Every fourth host, by its hash."""
+    return [zlib.crc32(r[3].encode()) % 4 == 0 for r in rows]
+
+
+def _values(rows: list[tuple], model: ResidueModel, phrases: re.Pattern = PHRASES) -> tuple[np.ndarray, np.ndarray]:
+    """(margin of the clearest residue segment, weak label is residue) of the values that have a weak label."""
+    shared, cut, y = _shared(rows), [], []
+    for v, t, src, _ in rows:
+        s = segments(v)
+        marks = weak_labels(s, t, src, shared, phrases)
+        if RESIDUE in marks or BODY in marks:
+            cut.append((s, t))
+            y.append(RESIDUE in marks)
+    s = model.text_scores([x for c, _ in cut for x in c], [t for c, t in cut for _ in c])
+    ahead = s[:, RESIDUE] - s[:, :RESIDUE].max(1)
+    ends = np.cumsum([len(c) for c, _ in cut])
+    # A value's margin is that at which its residue stops outweighing its body; the clearest segment's is close to it and cheap.
+    return np.array([ahead[e - len(c) : e].max() if _outweighs(c, s[e - len(c) : e]) else -1.0 for e, (c, _) in zip(ends, cut)]), np.array(y, bool)
+
+
+def _outweighs(segs: list[str], scores: np.ndarray) -> bool:
+    size, best = np.array([len(s) for s in segs]), scores.argmax(1)
+    body = np.array([b == BODY and _sentence(s) for s, b in zip(segs, best)])
+    return bool((best == RESIDUE).any() and size[best == RESIDUE].sum() >= size[body].sum())
 
 
 def fit(df: DataFrame, fields: list[str], title: str = "title", source: str = "source", url: str = "url", sample: int = SAMPLE) -> ResidueModel:
-    return train(*_training(_sample(df, fields, title, source, url, sample)))
+    """Both classifiers, trained without every fourth host of the sample, with thresholds set on those hosts."""
+    rows = _sample(df, fields, title, source, url, sample)
+    out = _unseen(rows)
+    return calibrated(_fit([r for r, o in zip(rows, out) if not o]), [r for r, o in zip(rows, out) if o])
 
 
-def validate(df: DataFrame, fields: list[str], title: str = "title", source: str = "source", url: str = "url", sample: int = SAMPLE) -> dict[str, float]:
-    """Precision and recall of residue against the weak labels on hosts that weren't trained on (every fourth host by hash)."""
-    import zlib
+def calibrated(model: ResidueModel, rows: list[tuple]) -> ResidueModel:
+    if rows:
+        model.margin = _threshold(*_values(rows, model))
+        found, y = _slot_training(rows)
+        model.slot_margin = _threshold(model.slot_scores(found), y == 1)
+    return model
+
 
+def _agreement(score: np.ndarray, y: np.ndarray, margin: float, name: str) -> dict[str, float]:
+    hit = int(((score > margin) & y).sum())
+    return {name: len(y), f"{name}_precision": hit / max(1, int((score > margin).sum())), f"{name}_recall": hit / max(1, int(y.sum()))}
+
+
+def validate(df: DataFrame, fields: list[str], title: str = "title", source: str = "source", url: str = "url", sample: int = SAMPLE) -> dict[str, float]:
+    """Agreement with the weak labels, of values and of slots, on hosts used neither for training nor for the thresholds."""
     rows = _sample(df, fields, title, source, url, sample)
-    out = [zlib.crc32(r[3].encode()) % 4 == 0 for r in rows]
-    model = train(*_training([r for r, o in zip(rows, out) if not o]))
-    segs, titles, y = _training([r for r, o in zip(rows, out) if o])
-    got = model.classify(segs, titles)
-    hit = int(((got == RESIDUE) & (y == RESIDUE)).sum())
-    return {"segments": len(segs), "precision": hit / max(1, int((got == RESIDUE).sum())), "recall": hit / max(1, int((y == RESIDUE).sum()))}
+    part = [zlib.crc32(r[3].encode()) % 4 for r in rows]
+    model = calibrated(_fit([r for r, p in zip(rows, part) if p > 1]), [r for r, p in zip(rows, part) if p == 0])
+    rest = [r for r, p in zip(rows, part) if p == 1]
+    found, z = _slot_training(rest)
+    return _agreement(*_values(rest, model), model.margin, "values") | _agreement(model.slot_scores(found), z == 1, model.slot_margin, "slots")
+
+
+def validate_families(df: DataFrame, fields: list[str], title: str = "title", source: str = "source", url: str = "url", sample: int = SAMPLE) -> dict[str, float]:
+    """For each family of phrases the share of its values that is found by a model trained without the family."""
+    rows, got = _sample(df, fields, title, source, url, sample), {}
+    for name, pattern in FAMILIES.items():
+        others = re.compile("|".join(f"(?:{p})" for n, p in FAMILIES.items() if n != name))
+        only = lambda v: re.search(pattern, _plain(v)) and not others.search(_plain(v))
+        test = [r for r in rows if len(r[0]) < 400 and only(r[0])]
+        model = _fit([r for r in rows if not re.search(pattern, _plain(r[0]))], others, name != "status")
+        score, y = _values(test, model, re.compile(pattern))
+        if y.sum():
+            got[name] = float(((score > 0) & y).sum() / y.sum())
+    return got
 
 
 def find_values(values: list[str | None], titles: list[str], model: ResidueModel) -> np.ndarray:
@@ -204,20 +397,23 @@ def find_values(values: list[str | None], titles: list[str], model: ResidueModel
     owner = np.repeat(np.arange(len(values)), [len(c) for c in cut])
     kinds = model.classify(segs, [t for t, c in zip(titles, cut) for _ in c])
     size = np.array([len(s) for s in segs], np.float64)
-    ends = np.array([len(s) >= 20 or len(s) >= 12 and s[-1] in "。.!?！？；;" for s in segs], bool)
+    ends = np.array([_sentence(s) for s in segs], bool)
     residue = np.bincount(owner, size * (kinds == RESIDUE), len(values))
     body = np.bincount(owner, size * ((kinds == BODY) & ends), len(values))
-    slots = np.array([bool(v) and bool(SLOT.search(v)) for v in values], bool)
+    found = [(i, c) for i, v in enumerate(values) if v for c in candidates(v)]
+    slots = np.zeros(len(values), bool)
+    slots[[i for (i, _), s in zip(found, model.slot_scores([c for _, c in found])) if s > model.slot_margin]] = True
     return ((residue > 0) & (residue >= body)) | slots
 
 
 def find(df: DataFrame, fields: list[str], key: str = "seq", title: str = "title", model: ResidueModel | None = None) -> DataFrame:
     """(key, field) of the values that are cases."""
     model = model or fit(df, fields, title)
-    packed = pickle.dumps(model.weights)
+    packed = pickle.dumps((model.text.weights, model.slot.weights, model.margin, model.slot_margin))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = ResidueModel(pickle.loads(packed))
+        text, slot, margin, slot_margin = pickle.loads(packed)
+        m = ResidueModel(Linear(text), Linear(slot), margin, slot_margin)
         for b in batches:
             titles = [t or "" for t in b.column(1).to_pylist()]
             for i, f in enumerate(fields):
