@@ -1,10 +1,12 @@
 """Problem 2: page boilerplate mixed with main content.
 
-The text of a page is read as a tree: page, blocks (runs of lines of one shape), lines. Each line passes
-points for length and commas to its block and half of them to the page, discounted by its link density:
-the share of its characters in pieces that are links (separated short items, bullets, dated or labelled
-titles, paths) or that very many pages of the corpus share. The best block and its siblings with enough
-points of their own are kept, headings with the paragraphs they stand before.
+The text of a page is read as a tree: page, sections (parted by the title and by runs of two or more link
+lines, as menus are), blocks (parted by single link lines) and lines. Each line passes points for length and
+commas to its block, discounted by its link density, and every block passes its points on to its section,
+discounted by the link density of the whole block. Link density is the share of characters in pieces that are
+links (separated short items, bullets, dated or labelled titles, paths) or that very many pages of the
+corpus share. The best section and those of its siblings that have SIBLING of its points are kept; whatever
+lies outside is frame, and inside them the lines that are links.
 
 How many records share a line is counted over the whole corpus (the source's and the host's own names
 taken out, numbers made equal where the line is no sentence), together with how often a paragraph comes
@@ -24,6 +26,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import pyarrow as pa
 import xxhash
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 
 from weirstone.llm.residue import PHRASES, candidates, slot_label
 
-#: A line in this share of all records (and at least FEW of them) is common; from this share of followers on it is a heading.
-COMMON, FEW, LEADS = 0.002, 4, 0.6
+#: A line in this share of all records (and at least FEW of them) is common; from this share of followers on it is a heading; the share of the best section's points that keeps a sibling.
+COMMON, FEW, LEADS, SIBLING = 0.002, 4, 0.6, 0.15
+#: The longest line in which words of frames count.
+WORDY = 120
 #: Distinct lines a task counts before it hands them on.
 HELD = 150_000
 _END = "。！？.!?；;”"
@@ -47,13 +52,13 @@ _ITEM = re.compile(r"^(?:(?:read|see) also|related|推荐阅读|延伸阅读|相
 _HEADING = re.compile(r"^(?:[一二三四五六七八九十]{1,3}、|[（(][一二三四五六七八九十\d]{1,3}[)）]|第[一二三四五六七八九十\d]{1,3}[章节条]|附(?:件|录)?[:：]?|\d{1,2}(?:\.\d{1,2})*\.?\s)\s*\S{0,24}$")
 
 
-# A text without any of these can't fit _WORDS, or _PHRASES, or SLOT; they only save time.
+# A text without any of these can't fit _WORDS, or PHRASES, or the form of a slot; they only save time.
 _HINTS = (
     "cookie 位置 站内搜索 高级检索 浏览次数 阅读量 点击 打印 关闭窗口 收藏本页 字体 分享 扫一扫 二维码 朋友圈 点亮 编辑 责编 审核 供稿 来源 版权 转载 权属 立场无关 备案 网站标识码 主办 技术支持 联系我们 网站地图 隐私 无障碍 分辨率 邮编 相关阅读 猜你喜欢 热点推荐 延伸阅读 推荐阅读 上一篇 下一篇 返回顶部 订阅 知道了 本地数据".split(),
     ["all rights", "terms of", "privacy", "accessibility", "sitemap", "subscribe", "newsletter", "you are here", "skip to", "share this", "was this", "related art", "you may also", "most read", "download cit", "views", "text size", "reproduced", "published by", "copyright", "©", "accept all", "menu", "follow us", "print this"],
-    "不存在 搬家 移除 没有找到 找不到 过期 失效 撤回 删除 很遗憾 抱歉 仅对 会员权限 不予显示 无法 仅展示 登录 请 加载 正在 开小差 错误 失败 跳转 校验 敬请 尚未发布 暂无数据 建设中 网关 上游 无响应 脚本 内核 四〇四 占位 示例 没有实际 测试 勿发布 填写 待录入 栏目标题 文章标题 作者姓名 模板 摘要内容 出错 被拒绝 过于频繁 浏览得太快 异常".split(),
-    ["could not", "looked", "sorry", "not found", "no longer", "expired", "typed", "removed by", "timed out", "did not", "unavailable", "unexpected", "permission", "log in", "sign in", "turn on", "enable", "script", "too many", "retry", "robot", "connection", "few seconds", "offline", "please", "loading", "refused", "http", "denied", "engineers", "reference code", "lorem", "enim", "consectetur", "dolor", "flumen", "nimbus", "sample text", "dummy", "replace this", "goes here", "object", "undefined", "null", "nan", "template", "draft", "server", "error"],
-    list("{<%[【_＿×（(〈") + ["xx", "tbd", "todo", "none"],
+    "不存在 搬家 移除 没有找到 找不到 过期 失效 撤回 删除 尚未发布 不在此 很遗憾 抱歉 仅对 会员权限 权限 无法 登录 请 加载 正在 开小差 错误 出错 失败 跳转 升级 维护 敬请 暂无数据 建设中 网关 响应 脚本 浏览器 验证 滑块 抓取 过于频繁 浏览得太快 异常 占位 示例 没有实际 测试 勿发布 待录入 文章标题 作者姓名 正文内容 模板 被拒绝".split(),
+    ["could not", "looked", "sorry", "not found", "no longer", "missing", "expired", "typed", "removed", "deleted", "moved", "located", "timed out", "did not", "unavailable", "unexpected", "permission", "log in", "sign in", "login", "signin", "members only", "turn on", "enable", "require", "support", "script", "too many", "retry", "robot", "captcha", "puzzle", "connection", "offline", "wait", "loading", "refused", "http", "denied", "subscription", "back ", "maintenance", "lorem", "enim", "dolor", "consectetur", "sample text", "dummy", "placeholder", "replace this", "goes here", "object", "undefined", "null", "nan", "none", "template", "server", "error", "status", "code", "40", "41", "42", "43", "45", "50", "51"],
+    [str(x.phrase).lower() for x in HTTPStatus if x >= 400], list("{<%[【_＿×@#") + ["xx", "tbd", "tbc", "todo"],
 )
 
 
@@ -163,14 +168,15 @@ def common_lines(df: DataFrame, share: float = COMMON) -> dict[int, tuple[float,
 
 def link_density(s: str, common: tuple[float, float] | None) -> float:
     """The share of a line's characters in links or in text that many pages share."""
-    if _about(s)[0] or _ITEM.search(s) and s[-1] not in _END:
+    if _ITEM.search(s) and s[-1] not in _END:
         return 1.0
     if common and (s[-1] in _END or common[1] < LEADS):
         return 1.0
     pieces = [p for p in _SEPARATED.split(s.strip("【】")) if p]
     if len(pieces) >= 3 and s[-1] not in _END:
         return sum(len(p) for p in pieces if len(p) <= (24 if p.isascii() else 12)) / max(1, sum(map(len, pieces)))
-    return 0.0
+    # Words of frames count in short lines only, so a paragraph that names them stays text.
+    return 0.6 if len(s) <= WORDY and _about(s)[0] else 0.0
 
 
 def frame_lines(content: str, title: str, source: str | None, url: str | None, common: dict[int, tuple[float, float]]) -> list[int]:
@@ -198,36 +204,51 @@ def frame_lines(content: str, title: str, source: str | None, url: str | None, c
             kind = "short"
         kinds.append(kind)
         density.append(d)
-        points.append((1 + sum(map(s.count, "，,、;；")) + min(len(s) / 50, 3)) * (1 - d) if kind == "text" else 0.0)
-    # Blocks: runs of lines that aren't links. A block has its lines' points; the page half of them.
-    blocks: list[list[int]] = []
-    for j, kind in enumerate(kinds):
-        if kind in ("link", "title"):
-            blocks.append([])
-        else:
-            if not blocks:
-                blocks.append([])
-            blocks[-1].append(j)
-    blocks = [b for b in blocks if b]
-    worth = [sum(points[j] for j in b) for b in blocks]
-    best = max(worth, default=0.0)
-    page = sum(worth) / 2
+        points.append((1 + sum(map(s.count, "，,、;；")) + min(len(s) / 50, 3)) * (1 - d) if kind in ("text", "residue") else 0.0)
     keep: set[int] = set()
-    for b, w in zip(blocks, worth):
-        if best == 0.0 or w > 0 and w >= min(1.0, 0.05 * max(best, page)):
-            last = max((j for j in b if points[j] > 0), default=-1)
-            first = min((j for j in b if points[j] > 0), default=len(rows))
-            for j in b:
-                # Loose short lines inside the body stay with it; those before or after it, and menus, don't.
-                if points[j] > 0 or kinds[j] in ("heading", "residue") or first < j < last and _lone(kinds, j):
+    sections = tree(kinds, density, points, [len(r[1]) for r in rows])
+    best = max((w for _, w in sections), default=0.0)
+    for lines, w in sections:
+        if best > 0 and w >= SIBLING * best:
+            last = max((j for j in lines if points[j] > 0), default=-1)
+            first = min((j for j in lines if points[j] > 0), default=len(rows))
+            for j in lines:
+                # Loose short lines inside the body, and beside a message of a response page, stay with it; those before or after it, and menus, don't.
+                beside = "residue" in kinds[max(0, j - 1) : j + 2] and rows[j][3] not in common
+                if points[j] > 0 or kinds[j] == "heading" or kinds[j] == "short" and (beside or first < j < last and _lone(kinds, j)):
                     keep.add(j)
-        else:
-            keep.update(j for j in b if kinds[j] == "residue" or kinds[j] == "heading")
     if best == 0.0:
-        keep = {j for j, k in enumerate(kinds) if k == "residue" or k == "short" and not common.get(rows[j][3]) and not re.search(r"\S", own or "") or k == "short" and _bare(rows[j][1])}
+        keep = {j for j, k in enumerate(kinds) if k == "short" and not common.get(rows[j][3]) and not re.search(r"\S", own or "") or k == "short" and _bare(rows[j][1])}
     return [rows[j][0] for j, k in enumerate(kinds) if k != "title" and j not in keep]
 
 
+def tree(kinds: list[str], density: list[float], points: list[float], sizes: list[int]) -> list[tuple[list[int], float]]:
+    """(lines, points) of each section of the page.
+
+    A line's points go to its block; a block's, times the share of its characters outside links, to its section.
+    """
+    sections: list[list[list[int]]] = [[[]]]
+    run = 0
+    for j, kind in enumerate(kinds):
+        run = run + 1 if kind == "link" else 0
+        if kind == "title" or run == 2:
+            sections.append([[]])
+        elif run == 1:
+            sections[-1].append([])
+        if kind != "title":
+            sections[-1][-1].append(j)
+    out = []
+    for blocks in sections:
+        worth = 0.0
+        for b in blocks:
+            size = sum(sizes[j] for j in b)
+            if size:
+                worth += sum(points[j] for j in b) * (1 - sum(density[j] * sizes[j] for j in b[1:] or b) / size)
+        if any(blocks):
+            out.append(([j for b in blocks for j in b], worth))
+    return out
+
+
 def _bare(s: str) -> bool:
     """What is left of a response page beside its message: a mark and a number."""
     return bool(re.search(r"[0-9a-f]{4,}|^\W+$", s))
