@@ -2,8 +2,11 @@
 
 The history is an index in the shared folder, partitioned by a hash of the key: for each accepted record
 its address key, title key and minwise band keys, and once per title the signature they come from. A batch computes its
-own keys, probes only the buckets they fall into, verifies candidates and appends its keys with the items found. As an item is
-decided by the order of ``seq`` alone, several batches may be probed at once with the same outcome.
+own keys, probes only the buckets they fall into (their numbers are literals in the partition filter of the
+scan, and within a bucket keys are sorted), verifies candidates and appends its keys with the items found.
+Buckets are doubled when they hold more than FULL keys on average, so the bytes a batch reads follow
+its own size and not that of the history. As an item is decided by the order of ``seq`` alone, several batches
+may be probed at once with the same outcome.
 
 Same address: scheme, www, host case, default port, fragment, closing slash, tracking parameters, escapes
 and the spelling of a DOI are taken out. Same title: NFKC, lower case, letters and figures only, frames of
@@ -12,6 +15,10 @@ characters (one place where at most two characters differ) that touches neither
 Band keys hold the place name and all figures beside a minwise value of the title's bigrams, so a bucket
 has the few titles of one place, and equal titles are folded before bands are joined: copies cost nothing.
 
+Only keys that two records share go on to the steps behind: verification, links and items. A band
+bucket of more than HOT titles isn't paired as a whole: its titles are paired where they agree in their first or
+their last half, which titles one slip apart always do.
+
 Links are joined to items by propagating the smallest ``seq`` between records and keys until nothing
 changes, each round cut by a checkpoint.
 
@@ -21,6 +28,7 @@ don't occur, ``seq`` being unique; repeated rows repeat the first one; extra col
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -35,7 +43,11 @@ from pyspark.sql import functions as F
 
 from weirstone.sources.tables import cut, scratch
 
-BANDS, BUCKETS, SLIP = 6, 64, 2
+BANDS, SLIP = 6, 2
+#: Fewest and most buckets of an index, keys in a bucket from which on their number is doubled, titles of a band key from which on it is split.
+BUCKETS, MOST_BUCKETS, FULL, HOT = 64, 1 << 16, 100_000, 50
+#: A table of at most so many rows (some MB) is broadcast; a larger one is joined by a shuffle. Names of sources that may be sent with a task.
+BROADCAST_ROWS, MOST_SITES = 200_000, 100_000
 # Query parameters that trace a visit and name no page.
 _TRACKING = re.compile(r"^(?:utm_\w+|spm|from|isappinstalled|share\w*|fbclid|gclid|msclkid|yclid|mc_[ce]id|_ga|scm|ref|referrer|ref_src|weixin\w*|nsukey|wxshare\w*|timestamp|source|src|track\w*|trk|cmpid|campaign\w*)$", re.I)
 # Words that end the name of a water body or place.
@@ -154,61 +166,80 @@ def keys(df: DataFrame, sites: frozenset[str], key: str = "seq", url: str = "url
 
 
 def _entries(k: DataFrame) -> DataFrame:
-    """Key rows (bucket, kind, h, seq, t, bare): kind 'u', 't' (title with number), 'b' (title without), '0'.. (bands)."""
+    """Key rows (kind, h, seq, t, bare): kind 'u', 't' (title with number), 'b' (title without), '0'.. (bands)."""
     place = F.col("place")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.cast("string").alias("kind"), F.xxhash64(i, F.element_at("sig", i + 1), place, F.col("figures"), F.when(place == "", F.element_at("sig", F.pmod(i + 1, F.lit(BANDS)) + 1))).alias("h")))
     named = F.array(F.struct(F.lit("u").alias("kind"), F.col("u").alias("h")), F.struct(F.lit("t").alias("kind"), F.col("t").alias("h")), F.struct(F.lit("b").alias("kind"), _words(F.col("base")).alias("h")))
     e = k.withColumn("e", F.explode(F.when(F.col("sig").isNull(), F.slice(named, 1, 1)).otherwise(F.concat(named, bands)))).where("e.h is not null")
-    return e.select(_bucket(F.col("e.h")).alias("bucket"), "e.kind", "e.h", "seq", "t", (F.col("number") == "").alias("bare"))
+    return e.select("e.kind", "e.h", "seq", "t", (F.col("number") == "").alias("bare"))
+
 
+def _titles(k: DataFrame, *by: str) -> DataFrame:
+    """(by..., t, base, number, place, sig), one row per title."""
+    return k.where("t is not null").groupBy(*by, "t").agg(*(F.first(c).alias(c) for c in ("base", "number", "place", "sig")))
 
-def _titles(k: DataFrame) -> DataFrame:
-    """Signature rows (bucket, t, base, number, place, sig), one per title."""
-    one = k.where("t is not null").groupBy("t").agg(*(F.first(c).alias(c) for c in ("base", "number", "place", "sig")))
-    return one.select(_bucket(F.col("t")).alias("bucket"), "t", "base", "number", "place", "sig")
 
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
-def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 class History:
     """The index of accepted records in a folder all executors share: key rows, and one signature row per title.
 
     A key row holds the item (the smallest ``seq``) its record was found to belong to, so that an item is
-    known by its first record however it was reached.
+    known by its first record however it was reached. ``state`` names the generation in use and its number of
+    buckets; a generation is written whole before it is named, so a writer that dies leaves the old one valid.
     """
 
-    def __init__(self, spark: SparkSession, path: str, sites: frozenset[str] = frozenset()):
-        self.spark, self.path, self.sites = spark, path, sites
+    def __init__(self, spark: SparkSession, path: str, sites: frozenset[str] = frozenset(), full: int = FULL):
+        self.spark, self.path, self.sites, self.full = spark, path, sites, full
 
-    def _read(self, part: str) -> DataFrame | None:
+    def _state(self) -> tuple[int, int, int] | None:
+        """(generation, buckets, keys), the latest."""
         try:
-            return self.spark.read.parquet(f"{self.path}/{part}")
+            r = self.spark.read.schema("generation long, buckets int, keys long").parquet(f"{self.path}/state").agg(F.max(F.struct("generation", "keys", "buckets")).alias("m")).first().m
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
+        return (r.generation, r.buckets, r["keys"])
+
+    def _name(self, generation: int, buckets: int, keys: int) -> None:
+        self.spark.range(1).select(F.lit(generation).cast("long").alias("generation"), F.lit(buckets).cast("int").alias("buckets"), F.lit(keys).cast("long").alias("keys")).write.mode("append").parquet(f"{self.path}/state")
+
+    def _read(self, part: str, wanted: DataFrame, *on: str) -> DataFrame | None:
+        """The rows of ``part`` whose key is in ``wanted``; only the buckets of those keys are read. The numbers of the buckets, at most MOST_BUCKETS, come to the driver."""
+        state = self._state()
+        if state is None:
+            return None
+        buckets = sorted(r[0] for r in wanted.select(_bucket(F.col(on[0]), state[1])).distinct().collect())
+        return self.spark.read.parquet(f"{self.path}/{part}-{state[0]}").where(F.col("bucket").isin(buckets)).join(_sized(wanted), list(on), "left_semi").drop("bucket")
+
+    def _write(self, part: str, generation: int, buckets: int, rows: DataFrame, key: str) -> None:
+        rows.sortWithinPartitions("bucket", key).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{part}-{generation}")
 
     def _decide(self, new: DataFrame) -> DataFrame:
         """(seq, item) of every record of ``new`` (keys), against the index and each other."""
-        mine, old, titles = _entries(new), self._read("keys"), _titles(new)
-        both = mine
-        if old is not None:
-            # Only entries whose key the batch has are read on: the bucket prunes files, the key rows.
-            wanted = mine.select("bucket", "kind", "h").distinct()
-            both = old.join(wanted, ["bucket", "kind", "h"], "left_semi").unionByName(mine)
-        both = cut(both.distinct())
-        pairs = cut(_candidates(both))
-        words = both.where("kind = 'b'")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().withColumn("bucket", _bucket(F.col("t")))
-        titles = titles.join(asked, ["bucket", "t"], "left_semi")
+        mine = _entries(new)
+        old = self._read("keys", cut(mine.select("h", "kind").distinct()), "h", "kind") if self._state() else None
+        both = mine if old is None else cut(old).unionByName(mine)
+        shared = cut(both.groupBy("kind", "h").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).where("lo < hi").select("kind", "h"))
+        both = cut(both.join(_sized(shared), ["kind", "h"], "left_semi"))
+        asked = cut(both.where("kind not in ('u', 't', 'b')").select("t").distinct())
+        titles = _titles(new.join(_sized(asked), "t", "left_semi"))
         if old is not None:
-            titles = titles.unionByName(self._read("titles").join(asked, ["bucket", "t"], "left_semi"))
+            titles = titles.unionByName(self._read("titles", asked, "t"))
         titles = cut(titles.groupBy("t").agg(*(F.first(c).alias(c) for c in ("base", "number", "place", "sig"))))
+        pairs = cut(_candidates(both, titles))
+        words = both.where("kind = 'b'")
         if old is not None:
-            same = titles.where("number = ''").select(_words(F.col("base")).alias("h")).withColumn("bucket", _bucket(F.col("h"))).distinct()
-            words = words.unionByName(old.where("kind = 'b'").join(same, ["bucket", "h"], "left_semi").select(*words.columns))
+            some = cut(titles.where("number = ''").select(_words(F.col("base")).alias("h")).distinct())
+            words = words.unionByName(self._read("keys", some, "h").where("kind = 'b'").select(*words.columns))
         words = cut(_folded(words))
         return _items(both, words, _slips(pairs, titles, words), new.select("seq"))
 
@@ -216,11 +247,31 @@ class History:
         """Decides the records of ``df`` and adds their keys; only new files are written. Gives what ``probe`` does."""
         new = cut(keys(df, self.sites))
         items = cut(self._decide(new))
-        entries = _entries(new).join(items, "seq").drop("seq").withColumnRenamed("item", "seq").distinct()
-        entries.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
-        _titles(new).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/titles")
+        n, state = new.count() * (BANDS + 3), self._state()
+        if state is None:
+            state = (1, min(MOST_BUCKETS, max(BUCKETS, 1 << (max(1, n // self.full) - 1).bit_length())), 0)
+        elif state[2] + n > state[1] * self.full and state[1] < MOST_BUCKETS:
+            state = self._split(state, n)
+        generation, buckets, held = state
+        moved = cut(items.where("item < seq"))
+        entries = _entries(new.join(_sized(moved), "seq", "left").withColumn("seq", F.coalesce("item", "seq")).drop("item"))
+        self._write("keys", generation, buckets, entries.withColumn("bucket", _bucket(F.col("h"), buckets)).repartition("bucket").distinct(), "h")
+        titles = new.where("t is not null").select("t", "base", "number", "place", "sig").withColumn("bucket", _bucket(F.col("t"), buckets))
+        self._write("titles", generation, buckets, _titles(titles.repartition("bucket"), "bucket"), "t")
+        self._name(generation, buckets, held + n)
         return _repeats(items)
 
+    def _split(self, state: tuple[int, int, int], more: int) -> tuple[int, int, int]:
+        """The index written anew with as many buckets as it needs; done each time it has doubled, so a key is rewritten once on average."""
+        generation, buckets, held = state
+        while buckets * self.full < held + more and buckets < MOST_BUCKETS:
+            buckets *= 2
+        for part, key in (("keys", "h"), ("titles", "t")):
+            rows = self.spark.read.parquet(f"{self.path}/{part}-{generation}").withColumn("bucket", _bucket(F.col(key), buckets))
+            self._write(part, generation + 1, buckets, rows.repartition("bucket"), key)
+        self._name(generation + 1, buckets, held)
+        return generation + 1, buckets, held
+
     def probe(self, df: DataFrame) -> DataFrame:
         """(seq_1, seq_2) of the records of ``df`` that repeat an item of the index or of an earlier record in ``df``."""
         return _repeats(self._decide(cut(keys(df, self.sites))))
@@ -239,10 +290,18 @@ def _folded(both: DataFrame) -> DataFrame:
     return both.where("kind <> 'u'").groupBy("kind", "h", "t").agg(F.min("seq").alias("first"), F.first("bare").alias("bare"))
 
 
-def _candidates(both: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different titles that share a band key."""
-    bands = _folded(both.where("kind not in ('u', 't', 'b')")).select("kind", "h", "t")
-    return bands.withColumnRenamed("t", "a").join(bands.withColumnRenamed("t", "b"), ["kind", "h"]).where("a < b").select("a", "b").distinct()
+def _candidates(both: DataFrame, titles: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b) of different titles that share a band key, and in keys of more than ``hot`` titles a half as well."""
+    bands = cut(_folded(both.where("kind not in ('u', 't', 'b')")).select("kind", "h", "t"))
+    many = _sized(cut(bands.groupBy("kind", "h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("kind", "h")))
+    few = bands.join(many, ["kind", "h"], "left_anti").withColumn("half", F.lit(0).cast("long"))
+    # Of titles one slip apart the first or the last halves are equal, for one of three neighbouring lengths of a half.
+    n = F.length("base")
+    size = F.explode(F.sequence(F.greatest(F.floor((n - SLIP) / 2), F.lit(1)), F.greatest(F.floor(n / 2), F.lit(1)))).alias("size")
+    halves = bands.join(many, ["kind", "h"], "left_semi").join(titles.select("t", "base"), "t").select("kind", "h", "t", "base", size)
+    halves = halves.select("kind", "h", "t", F.explode(F.array(F.xxhash64(F.expr("left(base, cast(size as int))"), F.lit("first")), F.xxhash64(F.expr("right(base, cast(size as int))"), F.lit("last")))).alias("half"))
+    each = few.unionByName(halves)
+    return each.withColumnRenamed("t", "a").join(each.withColumnRenamed("t", "b"), ["kind", "h", "half"]).where("a < b").select("a", "b").distinct()
 
 
 def _slips(pairs: DataFrame, titles: DataFrame, words: DataFrame) -> DataFrame:
@@ -290,8 +349,11 @@ def _items(both: DataFrame, words: DataFrame, slips: DataFrame, asked: DataFrame
 
 
 def site_names(sites: DataFrame) -> frozenset[str]:
-    """Names of the sources, as letters; the table of sources is a fixed dimension."""
-    return frozenset(_letters(r[0]) for r in sites.select("name").where("name is not null").distinct().toLocalIterator())
+    """Names of the sources, as letters; the table of sources is a dimension of at most MOST_SITES names, which is checked."""
+    names = [_letters(r[0]) for r in sites.select("name").where("name is not null").distinct().limit(MOST_SITES + 1).collect()]
+    if len(names) > MOST_SITES:
+        raise ValueError(f"more than {MOST_SITES} names of sources")
+    return frozenset(names)
 
 
 def against_history(history: DataFrame, inbox: DataFrame, sites: DataFrame) -> DataFrame:
@@ -300,3 +362,12 @@ def against_history(history: DataFrame, inbox: DataFrame, sites: DataFrame) -> D
     index = History(spark, scratch(spark, "history"), site_names(sites))
     index.accept(history)
     return index.probe(inbox)
+
+
+def batch_by_batch(history: DataFrame, inbox: DataFrame, sites: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """What ``against_history`` gives, each batch accepted on its own into an index that stays: (seq_1, seq_2). The numbers of the batches, few by nature, come to the driver."""
+    spark = inbox.sparkSession
+    index = History(spark, scratch(spark, "history"), site_names(sites))
+    index.accept(history)
+    parts = [index.accept(inbox.where(F.col(batch) == r[0])) for r in inbox.select(batch).distinct().orderBy(batch).collect()]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else index.probe(inbox)

@@ -36,6 +36,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_dedup.against_history(kb, inbox, table(spark, sf_dir, "sites"))
 
 
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, the batches accepted one by one into an index that stays."""
+    kb, inbox = table(spark, sf_dir, "kb").select("seq", "url", "title"), table(spark, sf_dir, "inbox").select("seq", "url", "title", "batch_id")
+    return history_dedup.batch_by_batch(kb, inbox, table(spark, sf_dir, "sites"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb = table(spark, sf_dir, "kb").where("pdf is null").select("seq", "source", "content")
     return repeated_lines(kb).select(F.col("key").cast("long").alias("seq"), "line_no")
@@ -104,7 +110,7 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_body, p3_found, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_body, p3_found, p3_batches, p4_found, p4_clean, p5_found, p5_restored, p6_found, p6_text, p8_ids, p8_roundtrip, p9_selection, p9_shares, p10_found, p10_share, p10_passages)}
 
 
 # DuckDB has no compatibility normalisation; the full-width forms, and nothing else that NFKC changes, occur in lines that repeat.

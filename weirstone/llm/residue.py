@@ -11,7 +11,7 @@ labels are forms of template languages and instructions on the one side, numbers
 and ordinary remarks in brackets on the other. Candidates of no listed form are left to the classifier.
 
 The threshold of either is set on hosts that were kept out of training, where it agrees best with the weak
-labels, precision counting twice as much as recall. ``validate`` reports the agreement on such hosts, and ``validate_families`` how
+labels (F1). ``validate`` reports the agreement on such hosts, and ``validate_families`` how
 much of a family of phrases is found by a model that was trained without it.
 
 A value is a case if residue makes up its text apart from the frame, or if it holds an unfilled slot.
@@ -93,6 +93,8 @@ def slot_label(s: str, before: str, after: str) -> int:
 _FIELDS = "name title date year month author unit place value station address number content summary email phone site_name user.name FIGURE_REF 单位名称 日期 联系电话".split()
 SLOT_TEXTS = [(f.format(w), p, n) for w in _FIELDS for f in ("{{{{{}}}}}", "{{{{ {} }}}}", "${{{}}}", "#{{{}}}", "<%= {} %>", "%%{}%%", "@@{}@@", "__{}__", "[[{}]]", "%({})s", "{{{}}}") for p, n in ((" ", " "), ("，", "在"))]
 NO_SLOT_TEXTS = [(f.format(w), p, n) for w in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" for f in ("{{{}}}", "[{}]", "<{}>") for p, n in ((" ", " "), ("中", "取"))]
+_REMARKS = "see Part 3|Figure 2|in Chinese|in press|see below|n = 12|and others|or less|for example|approx. 5 km|Table 4, left|the upper reach|sic|EU|WHO|p < 0.05|total phosphorus|mean of three|since 2009|both banks|试行|见附件|暂行|含支流|以下简称|详见第3章|不含税|总则|修订版|左岸|上游|表2|单位：毫克|第二次|即枯水期|平均值|征求意见稿|节选|例如|约5公里".split("|")
+NO_SLOT_TEXTS += [(f.format(w), p, n) for w in _REMARKS for f in ("({})", "（{}）", "[{}]", "【{}】") for p, n in ((" ", "."), ("在", "，"))]
 
 
 def slot_features(found: list[tuple[str, str, str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +106,7 @@ def slot_features(found: list[tuple[str, str, str]]) -> tuple[np.ndarray, np.nda
         low = "\x02" + re.sub(r"\d", "0", inner.lower())[:60] + "\x03"
         shape = re.sub(r"(.)\1+", r"\1", "".join("0" if c.isdigit() else "汉" if "一" <= c <= "鿿" else "A" if c.isupper() else "a" if c.isalpha() else c for c in inner))[:20]
         kind = lambda c: "^" if not c or c == "\n" else "0" if c.isdigit() else "汉" if "一" <= c <= "鿿" else "a" if c.isalpha() else c
-        fs = {f"o{opens}", f"c{shuts}", f"d{opens[-2:]}{shuts[:2]}", f"s{shape}", f"S{opens}{shape}", f"l{min(len(inner), 12)}", f"p{kind(p)}", f"n{kind(n)}", f"D{opens}{shuts}l{len(inner) < 2}", *(f"g{low[a : a + k]}" for k in (2, 3) for a in range(len(low) - k + 1))}
+        fs = {f"o{opens}", f"c{shuts}", f"d{opens[-2:]}{shuts[:2]}", f"s{shape}", f"S{opens}{shape}", f"l{min(len(inner), 12)}", f"p{kind(p)}", f"n{kind(n)}", f"D{opens}{shuts}l{len(inner) < 2}", f"w{bool(_ORDER.search(inner))}", f"1{len(inner) == 1 and inner.isalpha()}", f"2{len(inner) == 1 and inner.isalpha()}{opens[-1:]}", f"W{bool(_PART.search(inner))}{opens[-1:]}", *(f"g{low[a : a + k]}" for k in (2, 3) for a in range(len(low) - k + 1))}
         hs = {zlib.crc32(f.encode("utf-8", "replace")) % BUCKETS for f in fs}
         at += [i] * len(hs)
         buckets += hs
@@ -176,10 +178,12 @@ def weak_labels(segs: list[str], title: str, source: str, shared: set[str], phra
     """
     kinds = []
     for s in segs:
-        if _key(s, source) in shared or _LINKS.search(s) and s[-1] not in "。.!?！？" or title and (s in title or title in s):
+        if _LINKS.search(s) and s[-1] not in "。.!?！？" or title and (s in title or title in s):
             kinds.append("frame")
         elif phrases.search(_plain(s)) or _is_slots(s):
             kinds.append("phrase")
+        elif _key(s, source) in shared:
+            kinds.append("frame")
         else:
             kinds.append("text" if _sentence(s) else "short")
     phrase = sum(len(s) for s, k in zip(segs, kinds) if k == "phrase")
@@ -252,26 +256,28 @@ class ResidueModel:
 
 
 def _sample(df: DataFrame, fields: list[str], title: str, source: str, url: str, sample: int) -> list[tuple]:
-    """At most ``sample`` (value, title, source, host), chosen by a hash: the only rows that reach the driver."""
+    """At most ``sample`` (value, title, source, host, even), and a third as many with a phrase: the only rows that reach the driver. ``even`` rows are chosen by a hash alone."""
     long = df.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("v"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("s"), F.coalesce(F.regexp_extract(F.lower(F.col(url)), "^[a-z]+://([^/?#]+)", 1), F.lit("")).alias("h"))
-    rows = [tuple(r) for r in bounded_sample(long, ["v", "t"], sample, F.length("v") > 0).toLocalIterator()]
+    rows = [(*r, True) for r in bounded_sample(long, ["v", "t"], sample, F.length("v") > 0).toLocalIterator()]
     # Residue is rare: short values with a phrase in them make a sample of their own, again of bounded size.
     likely = F.length("v").between(1, 400) & F.col("v").rlike("(?im)" + PHRASES.pattern)
     more = bounded_sample(long, ["v", "t"], max(1, sample // 3), likely, wide=50)
-    return list(dict.fromkeys([*rows, *(tuple(r) for r in more.toLocalIterator())]))
+    return list({r[:4]: r for r in [*((*r, False) for r in more.toLocalIterator()), *rows]}.values())
 
 
 def _shared(rows: list[tuple]) -> set[str]:
+    """Keys of segments that very many values have, counted in the even part of the sample alone."""
     often: Counter = Counter()
-    for v, _, src, _ in rows:
+    even = [r for r in rows if r[4]]
+    for v, _, src, _, _ in even:
         often.update({_key(s, src) for s in segments(v)})
-    return {k for k, c in often.items() if c >= max(4, SHARED * len(rows))}
+    return {k for k, c in often.items() if c >= max(4, SHARED * len(even))}
 
 
 def _training(rows: list[tuple], phrases: re.Pattern = PHRASES, status: bool = True) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
     """(segments, titles, labels, whether it is body with a phrase in it); body segments without a phrase up to BODY_KEPT."""
     shared, segs, titles, labels, near, plain = _shared(rows), [], [], [], [], 0
-    for v, t, src, _ in rows:
+    for v, t, src, *_ in rows:
         cut = segments(v)
         for s, y in zip(cut, weak_labels(cut, t, src, shared, phrases)):
             report = y == BODY and bool(phrases.search(_plain(s)))
@@ -292,7 +298,7 @@ def _training(rows: list[tuple], phrases: re.Pattern = PHRASES, status: bool = T
 def _slot_training(rows: list[tuple]) -> tuple[list[tuple[str, str, str]], np.ndarray]:
     """Different candidates (numbers made equal) with their labels."""
     one: dict = {}
-    for v, _, _, _ in rows:
+    for v, *_ in rows:
         for c in candidates(v):
             key = tuple(re.sub(r"\d+", "0", x) for x in c)
             if key not in one and (y := slot_label(*c)) >= 0:
@@ -308,12 +314,12 @@ def _fit(rows: list[tuple], phrases: re.Pattern = PHRASES, status: bool = True)
 
 
 def _threshold(score: np.ndarray, right: np.ndarray) -> float:
-    """The non-negative threshold of best agreement with ``right``, precision counting twice; 0 if nothing is above 0."""
+    """The non-negative threshold of best agreement (F1) with ``right``; 0 if nothing is above 0."""
     found = np.sort(score[score > 0])
     best, at = -1.0, 0.0
     for t in np.concatenate([[0.0], found]):
         hit = int((right & (score > t)).sum())
-        f = 1.25 * hit / max(1e-9, 0.25 * int(right.sum()) + int((score > t).sum()))
+        f = 2 * hit / max(1, int(right.sum()) + int((score > t).sum()))
         if f > best:
             best, at = f, float(t)
     return at
@@ -327,7 +333,7 @@ def _unseen(rows: list[tuple]) -> list[bool]:
 def _values(rows: list[tuple], model: ResidueModel, phrases: re.Pattern = PHRASES) -> tuple[np.ndarray, np.ndarray]:
     """(margin of the clearest residue segment, weak label is residue) of the values that have a weak label."""
     shared, cut, y = _shared(rows), [], []
-    for v, t, src, _ in rows:
+    for v, t, src, *_ in rows:
         s = segments(v)
         marks = weak_labels(s, t, src, shared, phrases)
         if RESIDUE in marks or BODY in marks:

@@ -13,6 +13,9 @@
    code points in both covers its positions. Around frequent seeds every window is hashed (128 bits), and
    windows in at least two texts cover theirs. Runs of covered positions come out.
 
+5. ``fuzzy_passages`` aligns the chains: the stretches between neighbouring seeds by edit distance, both ends
+   carried on over single edits, so that altered passages come out whole with the identity of their alignment.
+
 Nothing is compared pairwise except through rare seeds, and no group of unbounded size is collected.
 
 Defined results: null, empty and shorter texts share nothing; exact copies of at least ``span`` code
@@ -35,6 +38,8 @@ from weirstone.sources.tables import cut
 SPAN = 100
 #: A seed with more occurrences than this isn't paired; its surroundings go to the exact step directly.
 RARE = 12
+#: An alignment goes on over an edit if so many code points match behind it, and so many spans beyond the outer seeds.
+RESUME, BEYOND = 8, 4
 #: A written table of at most so many rows (a few MB) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 150_000
 #: Code points of text hashed at once in Python.
@@ -219,7 +224,7 @@ def _class_matches(shared: DataFrame, k: int, rare: int) -> DataFrame:
 
 
 def chained_passages(shared: DataFrame, span: int = SPAN, rare: int = RARE) -> DataFrame:
-    """(a, b, a_start, a_end, b_start, b_end, seeds, matched) of each chain of rare seeds; a < b; ends exclusive."""
+    """(a, b, a_start, a_end, b_start, b_end, seeds, pas, pbs) of each chain of rare seeds; a < b; ends exclusive; pas, pbs the places of its seeds."""
     return _chains(_rare_matches(shared, rare), span)
 
 
@@ -237,13 +242,12 @@ def _chains(pairs: DataFrame, span: int) -> DataFrame:
         def close() -> None:
             for c in chain(pas, pbs, k):
                 xs, ys = [pas[i] for i in c], [pbs[i] for i in c]
-                matched = k + sum(min(k, q - p) for p, q in zip(xs, xs[1:]))
-                out.append((*held, xs[0], xs[-1] + k, ys[0], ys[-1] + k, len(c), matched))
+                out.append((*held, xs[0], xs[-1] + k, ys[0], ys[-1] + k, len(c), xs, ys))
 
         def flush() -> pa.RecordBatch:
-            cols = [pa.array([r[i] for r in out], pa.int64() if i in (0, 1) else pa.int32()) for i in range(8)]
+            cols = [pa.array([r[i] for r in out], pa.int64() if i < 2 else pa.int32() if i < 7 else pa.list_(pa.int32())) for i in range(9)]
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "a_start", "a_end", "b_start", "b_end", "seeds", "matched"])
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "a_start", "a_end", "b_start", "b_end", "seeds", "pas", "pbs"])
 
         for batch in batches:
             for a, b, p, q in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -258,7 +262,7 @@ def _chains(pairs: DataFrame, span: int) -> DataFrame:
             close()
             yield flush()
 
-    return pairs.mapInArrow(work, "a bigint, b bigint, a_start int, a_end int, b_start int, b_end int, seeds int, matched int")
+    return pairs.mapInArrow(work, "a bigint, b bigint, a_start int, a_end int, b_start int, b_end int, seeds int, pas array<int>, pbs array<int>")
 
 
 def _exact_windows(texts: DataFrame, ranges: DataFrame, span: int) -> DataFrame:
@@ -303,9 +307,78 @@ def _common_runs(pairs: DataFrame, span: int) -> DataFrame:
     return pairs.mapInArrow(work, "id bigint, s bigint, e bigint")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A written table, broadcast if its rows are few enough, else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, entries: str = "1") -> DataFrame:
+    """A written table, broadcast if its rows (or the entries of its lists) are few enough, else joined by a shuffle."""
+    size = df.agg(F.coalesce(F.sum(F.expr(entries)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
+
+
+def edits(a: str, b: str) -> int:
+    """Edit distance, a column of the table as the bits of a number."""
+    if a == b or not a or not b:
+        return 0 if a == b else max(len(a), len(b))
+    n, at = len(a), {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, top, more, less, d = (1 << n) - 1, 1 << n - 1, (1 << n) - 1, 0, n
+    for c in b:
+        x = at.get(c, 0)
+        y = (((x & more) + more) ^ more) | x | less
+        up, down = less | ~(y | more) & every, more & y
+        d += bool(up & top) - bool(down & top)
+        up = (up << 1 | 1) & every
+        more, less = (down << 1 | ~(x | less | up)) & every, up & (x | less)
+    return d
+
+
+def carried(a: str, b: str) -> tuple[int, int, int]:
+    """(code points of a, of b, edits) from the beginning of both as far as they agree but for single edits."""
+    i = j = k = 0
+    while True:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        # The edit behind which they agree again: another character, one more in a, one more in b.
+        for di, dj in ((1, 1), (1, 0), (0, 1)):
+            if i + di + RESUME <= len(a) and j + dj + RESUME <= len(b) and a[i + di : i + di + RESUME] == b[j + dj : j + dj + RESUME]:
+                i, j, k = i + di, j + dj, k + 1
+                break
+        else:
+            return i, j, k
+
+
+def align(a: str, b: str, pas: list[int], pbs: list[int], k: int) -> tuple[int, int, int, int, int]:
+    """(start in a, end in a, start in b, end in b, edits) of the chain of seeds of k at ``pas`` in a and ``pbs`` in b, aligned and carried on at both ends."""
+    n = 0
+    for p, p2, q, q2 in zip(pas, pas[1:], pbs, pbs[1:]):
+        over = max(0, p + k - p2, q + k - q2)  # neighbours that overlap differ by what one of them is shorter
+        n += edits(a[p + k : p2 + over], b[q + k : q2 + over])
+    left = carried(a[: pas[0]][::-1], b[: pbs[0]][::-1])
+    right = carried(a[pas[-1] + k :], b[pbs[-1] + k :])
+    return pas[0] - left[0], pas[-1] + k + right[0], pbs[0] - left[1], pbs[-1] + k + right[1], n + left[2] + right[2]
+
+
+def _aligned(chains: DataFrame, texts: DataFrame, span: int) -> DataFrame:
+    """Chains (with passage) aligned: (a, b, a_start, a_end, b_start, b_end, seeds, identity, passage)."""
+    k, far = span // 2, BEYOND * span
+    c = cut(chains.withColumn("row", F.monotonically_increasing_id()))
+    side = lambda x: F.struct(F.col(x).alias("id"), F.lit(x).alias("side"), F.greatest(F.col(f"{x}_start") - far, F.lit(0)).alias("at"), (F.col(f"{x}_end") + far).alias("to"))
+    sides = cut(c.select("row", F.explode(F.array(side("a"), side("b"))).alias("x")).select("row", "x.*"))
+    slices = texts.select("id", "text").join(_sized(sides), "id").select("row", "side", F.col("text").substr(F.col("at") + 1, F.col("to") - F.col("at")).alias("slice"))
+    both = slices.groupBy("row").agg(F.max(F.when(F.col("side") == "a", F.col("slice"))).alias("a_text"), F.max(F.when(F.col("side") == "b", F.col("slice"))).alias("b_text"))
+    low = lambda x: F.greatest(F.col(f"{x}_start") - far, F.lit(0))
+    rows = c.join(both, "row").select("a", "b", "seeds", "passage", low("a").alias("a_at"), low("b").alias("b_at"), "pas", "pbs", "a_text", "b_text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            out: list[tuple] = []
+            for a, b, n, name, a_at, b_at, pas, pbs, ta, tb in zip(*(x.column(i).to_pylist() for i in range(10))):
+                s, e, u, v, d = align(ta, tb, [p - a_at for p in pas], [p - b_at for p in pbs], k)
+                out.append((a, b, s + a_at, e + a_at, u + b_at, v + b_at, n, round(1 - d / max(e - s, v - u), 4), name))
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["a", "b", "a_start", "a_end", "b_start", "b_end", "seeds", "identity", "passage"])
+
+    # Chains that a larger edit parts may meet when they are carried on.
+    return rows.mapInArrow(work, "a bigint, b bigint, a_start int, a_end int, b_start int, b_end int, seeds int, identity double, passage string").distinct()
 
 
 def _merged(spans: DataFrame, *keys: str) -> DataFrame:
@@ -334,7 +407,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
     # Frequent seeds: all windows around them are hashed; those of two texts or more cover their positions.
     around = shared.where(F.col("n") > rare).select("id", (F.col("pos") - (span - k)).alias("s"), (F.col("pos") + 1).alias("e"))
     ranges = cut(_merged(around, "id").groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    windows = cut(_exact_windows(texts.select("id", "text"), _sized(ranges), span))
+    windows = cut(_exact_windows(texts.select("id", "text"), _sized(ranges, "size(spans)"), span))
     twice = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2")
     covered = windows.join(twice, ["h1", "h2"], "left_semi").select("id", F.col("pos").cast("long").alias("s"), (F.col("pos") + span).cast("long").alias("e"))
     runs = _merged(spans.unionByName(covered), "id").select("id", F.col("s").alias("span_start"), F.col("e").alias("span_end"))
@@ -344,7 +417,9 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
 
 
 def fuzzy_passages(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, rare: int = RARE) -> DataFrame:
-    """(a, b, a_start, a_end, b_start, b_end, seeds, identity, passage): chained passages between first copies of texts.
+    """(a, b, a_start, a_end, b_start, b_end, seeds, identity, passage): chained and aligned passages between first copies of texts.
+
+    identity is 1 less the edits of the alignment over the longer of its two stretches.
 
     Rare seeds give a row for each pair of texts, ``passage`` null. For frequent ones every text that has
     them is chained against the text with their first occurrence: a is that text, b the member, and
@@ -361,9 +436,7 @@ def fuzzy_passages(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     x = members.select("a", "a_start", "a_end").distinct().withColumn("far", F.max("a_end").over(at.rowsBetween(Window.unboundedPreceding, -1)))
     x = x.withColumn("g", F.sum(F.when(F.col("far") > F.col("a_start"), 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.select("a", "a_start", "a_end", F.concat_ws(":", "a", F.min("a_start").over(Window.partitionBy("a", "g"))).alias("passage"))
-    c = pairs.unionByName(members.join(x, ["a", "a_start", "a_end"]))
-    longest = F.greatest(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
-    return c.select("a", "b", "a_start", "a_end", "b_start", "b_end", "seeds", F.round(F.col("matched") / longest, 4).alias("identity"), "passage")
+    return _aligned(pairs.unionByName(members.join(x, ["a", "a_start", "a_end"])), firsts, span)
 
 
 def shared_share(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
