@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from weirstone.functions.text import SPACES, strip
 
-#: Characters that don't count when titles are compared.
-TITLE_MARKS = r"[\s\x{3000}\x{a0}·,，.。:：;；!！?？()（）《》“”\"'\[\]【】〔〕、\-—_/]+"
+# Fixed value: the class of characters that don't count when titles are compared (white space of all scripts by the flag).
+TITLE_MARKS = r"(?U)[\s《》〈〉【】\[\]()（）\"'“”‘’·、,，。.：:;；!！?？—\-_/\\]+"
 
 
 def remap(value: Column, mapping: dict[str, str]) -> Column:
@@ -48,6 +48,11 @@ def repair_doi(url: Column, resolver: str = r"doi\.(?:org|example)") -> Column:
     return F.regexp_replace(url, rf"^(?:https?://(?:dx\.)?{resolver}/)+(https?://(?:dx\.)?{resolver}/)", "$1")
 
 
+def doi_of(url: Column) -> Column:
+    """Like ``bare_doi`` for addresses in which the identifier is escaped."""
+    return bare_doi(F.coalesce(F.try_url_decode(url), url))
+
+
 def bare_doi(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, r"(10\.\d{4,9}/[^\s?#]+)", 1), r"\.+$", "")
 
@@ -56,6 +61,78 @@ def title_key(title: Column) -> Column:
     return F.lower(F.regexp_replace(title, TITLE_MARKS, ""))
 
 
+def title_unspaced(title: Column) -> Column:
+    """Without any white space."""
+    return F.regexp_replace(F.coalesce(title, F.lit("")), f"[{SPACES}]+", "")
+
+
+def title_unbracketed(title: Column) -> Column:
+    """Without white space and brackets."""
+    return F.regexp_replace(F.coalesce(title, F.lit("")), rf"[{SPACES}《》（）()【】\[\]]", "")
+
+
+def title_letters(title: Column) -> Column:
+    """Chinese characters, Latin letters and figures only."""
+    return F.regexp_replace(F.coalesce(title, F.lit("")), r"[^\x{4e00}-\x{9fff}A-Za-z0-9]+", "")
+
+
+def standard_name(name: Column, code: str) -> Column:
+    """Letters of a standard's name, remarks in round brackets and codes (``code``, a pattern) taken out, in lower case."""
+    return F.lower(title_letters(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[（(].{0,30}?[)）]", ""), code, " ")))
+
+
+def standard_title(name: Column, replaced: str = "代替|替代") -> Column:
+    """The name up to the note of what it replaces, white space squeezed, without brackets at its ends."""
+    x = F.split(strip(F.coalesce(name, F.lit(""))), replaced, 2)[0]
+    return F.regexp_replace(F.regexp_replace(x, f"[{SPACES}]+", " "), "^[ 《》]+|[ 《》]+$", "")
+
+
+def standard_code(name: Column, code: str, prefix: str) -> Column:
+    """The first code of the name (not of what it replaces), dashes made equal, one blank behind its prefix."""
+    c = F.regexp_replace(F.translate(F.regexp_extract(standard_title(name), code, 0), "－—–", "---"), f"[{SPACES}]+", "")
+    return F.regexp_replace(c, rf"^({prefix})(?=[0-9])", "$1 ")
+
+
+def document_query(title: Column, news: str, endings: str) -> Column:
+    """The name of a document that a title is about: what stands in 《》, else the title without news words, remarks, endings and the part before a colon."""
+    named = F.regexp_extract(title, "《([^》]{4,60})》", 1)
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), news, ""), r"[（(【\[].*?[)）】\]]", "")
+    t = F.regexp_replace(F.regexp_replace(t, f"({endings})$", ""), f"^.{{0,12}}?[：:·｜|][{SPACES}]*", "")
+    return F.when(named != "", named).otherwise(F.substring(strip(F.regexp_replace(t, f"[{SPACES}“”\"'《》]+", "")), 1, 60))
+
+
+def cleaned_terms(terms: Column, noise: str, most: int = 14) -> Column:
+    """Without names of disciplines (``noise``), Latin phrases, years, single characters and repetitions; the first ``most``."""
+    t = F.transform(F.coalesce(terms, F.array().cast("array<string>")), strip)
+    return F.slice(F.array_distinct(F.filter(t, lambda x: (F.length(x) > 1) & ~x.rlike(noise) & ~x.rlike(r"^[A-Za-z][A-Za-z\s\-&/]{2,}$") & ~x.rlike(r"^\d{4}$"))), 1, most)
+
+
+def restamped(added: Column, date: Column, today: str, before: str) -> Column:
+    """Rows added ``today`` whose date is before ``before`` count as added on their date."""
+    return F.when((added == today) & (date < before), date).otherwise(added)
+
+
+def first_name(*names: Column) -> Column:
+    """The first name that isn't blank, stripped."""
+    return F.coalesce(*[F.nullif(strip(n), F.lit("")) for n in names])
+
+
+def standard_summary(name: Column, code: Column, effect: Column, text: Column, file: Column, page: Column, unknown: str = "-") -> Column:
+    """One of four sentences on a standard, by what there is of it: the text of its file, the file, a page of more than 300 characters, nothing."""
+    tail = F.concat(F.coalesce(F.nullif(code, F.lit("")), F.lit(unknown)), F.when(F.coalesce(effect, F.lit("")) != "", F.format_string("，%s 起实施", effect)).otherwise(""))
+    title = standard_title(name)
+    return (
+        F.when(F.coalesce(text, F.lit("")) != "", F.format_string("《%s》全文 %d 字（%s）：%s", title, F.length(text), tail, F.substring(squeezed(join_cjk(text)), 1, 200)))
+        .when(F.coalesce(file, F.lit("")) != "", F.format_string("《%s》原件 %s（%s）", title, file, tail))
+        .when(F.length(page) > 300, F.format_string("《%s》页面文本 %d 字（%s）", title, F.length(page), tail))
+        .otherwise(F.format_string("《%s》条目（%s）", title, tail))
+    )
+
+
+def squeezed(text: Column) -> Column:
+    return strip(F.regexp_replace(text, f"[{SPACES}]+", " "))
+
+
 def event_key(title: Column) -> Column:
     return F.concat(F.lit("ti:"), F.substring(F.sha1(title_key(title)), 1, 16))
 
@@ -93,8 +170,9 @@ def strip_tags(markup: Column) -> Column:
 
 
 def join_cjk(text: Column) -> Column:
-    """Single blanks between Chinese characters, left by line breaks, taken out."""
-    return F.regexp_replace(text, r"(?<=[\x{4e00}-\x{9fff}]) (?=[\x{4e00}-\x{9fff}])", "")
+    """Single blanks between Chinese characters, left by extraction, taken out; runs of blanks and of line feeds squeezed."""
+    x = F.regexp_replace(text, r"(?<=[\x{4e00}-\x{9fff}]) (?=[\x{4e00}-\x{9fff}])", "")
+    return strip(F.regexp_replace(F.regexp_replace(x, r"[ \t\x{3000}]{2,}", " "), r"\n{2,}", "\n"))
 
 
 def occurrences(text: Column, term: str) -> Column:

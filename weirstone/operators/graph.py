@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def entities(df: DataFrame, key: str, text: Column, vocabulary: dict[str, list[str]]) -> DataFrame:
-    """(file, type, name): vocabulary words in the text."""
-    low = F.coalesce(text, F.lit(""))
-    found = F.array_compact(F.array(*[F.when(low.contains(n), F.struct(F.lit(t).alias("type"), F.lit(n).alias("name"))) for t, names in vocabulary.items() for n in names]))
+def entities(df: DataFrame, key: str, text: Column, vocabulary: dict[str, list[str]], without: dict[str, list[str]] | None = None) -> DataFrame:
+    """(file, type, name): vocabulary words in the text, but for the names of a type in ``without``."""
+    low, out = F.coalesce(text, F.lit("")), without or {}
+    found = F.array_compact(F.array(*[F.when(low.contains(n), F.struct(F.lit(t).alias("type"), F.lit(n).alias("name"))) for t, names in vocabulary.items() for n in names if n not in out.get(t, [])]))
     return df.select(F.col(key).alias("file"), F.explode(found).alias("e")).select("file", "e.type", "e.name")
 
 
@@ -53,3 +53,29 @@ def mentions(titles: DataFrame, cores: DataFrame) -> DataFrame:
     longest = F.array_distinct(F.regexp_extract_all("title", F.lit(f"(?=({_trie(names)}))"), F.lit(1)))
     found = titles.select("title", F.explode(F.array_distinct(F.flatten(F.transform(longest, lambda x: begins[x])))).alias("core")).where("core <> title")
     return found.select("core", F.xxhash64("title").alias("t1"), F.xxhash64(F.lit(3), "title").alias("t2")).distinct().groupBy("core").agg(F.count("*").alias("n"))
+
+
+def title_mentions(df: DataFrame, title: str, out: list[str], least: int = 4) -> DataFrame:
+    """(title, n): in how many other titles the core of a title stands; ``out`` are patterns taken out of it.
+
+    A core in another title is equal to a part of it, so all parts of a title that have the length of some
+    core are joined with the cores by equality: an equi join that spreads by its hash, whatever the sizes of both
+    sides. The lengths that occur, at most as many as a title has letters, come to the driver.
+    """
+    t = df.where(F.length(title) >= least).select(F.col(title).alias("title")).distinct()
+    core = F.col("title")
+    for p in out:
+        core = F.regexp_replace(core, p, "")
+    c = t.withColumn("core", F.trim(core)).where(F.length("core") >= least)
+    lengths = sorted(r[0] for r in c.select(F.length("core")).distinct().collect())
+    if not lengths:
+        return t.select("title", F.lit(0).cast("long").alias("n")).limit(0)
+    parts = F.array_distinct(F.flatten(F.array(*[F.when(F.length("other") >= n, F.transform(F.sequence(F.lit(1), F.length("other") - n + 1), lambda i, n=n: F.col("other").substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths])))
+    found = t.withColumnRenamed("title", "other").select("other", F.explode(parts).alias("core"))
+    # Parts that are no core go before the shuffle's second half: both sides meet on the hash of the part.
+    return found.join(c, "core").where("other <> title").groupBy("title").agg(F.count("*").alias("n"))
+
+
+def anchors(mentions: DataFrame, least: int = 8, most: int = 12) -> DataFrame:
+    """The titles that stand in most others, if in ``least`` or more: a report of a fixed length."""
+    return mentions.where(F.col("n") >= least).orderBy(F.desc("n"), "title").limit(most)

@@ -47,9 +47,23 @@ def file_links(markup: Column, ending: str = "pdf") -> Column:
     return F.when(F.size(a) > 0, a).otherwise(b)
 
 
-def image_links(markup: Column, most: int = 8) -> Column:
+def image_links(markup: Column, base: Column, unwanted: str, most: int = 8) -> Column:
+    """Absolute addresses of images, once each; ``unwanted`` is a pattern of addresses to leave out."""
     src = F.regexp_extract_all(markup, F.lit(r"""(?i)<img\b[^>]*?src\s*=\s*["']([^"']+)["']"""), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(src, lambda s: ~s.rlike(r"(?i)^data:|icon|logo|spacer|track|pixel|\.gif$"))), 1, most)
+    return F.slice(F.array_distinct(F.transform(F.filter(src, lambda s: ~s.rlike(unwanted)), lambda s: absolute(s, base))), 1, most)
+
+
+def original_links(markup: Column, base: Column, words: str, paths: str, most: int = 6) -> Column:
+    """Absolute addresses of links to an original document: words in the text of the link, or a pattern of its path."""
+    hit = F.filter(links(markup), lambda a: a["text"].rlike(words) | a["href"].rlike(paths))
+    return F.slice(F.array_distinct(F.transform(hit, lambda a: absolute(a["href"], base))), 1, most)
+
+
+def page_lines(markup: Column, least: int = 12, most: int = 400) -> Column:
+    """The text between tags in lines of ``least`` characters or more, at most ``most`` of them."""
+    x = F.regexp_replace(markup, r"(?is)<!--.*?-->|<(script|style|head|noscript)\b.*?</\1\s*>", "")
+    lines = F.transform(F.split(entities(F.regexp_replace(x, r"(?s)<[^>]*>", "\n")), "\n"), strip)
+    return F.array_join(F.slice(F.filter(lines, lambda s: F.length(s) >= least), 1, most), "\n")
 
 
 def run_text(markup: Column, noise: str, least: int = 4, line: int = 15) -> Column:

@@ -15,8 +15,6 @@ from pyspark.sql.window import Window
 from weirstone.functions.fields import event_key, url_comparable, url_key
 from weirstone.sources.tables import cut
 
-MOST_ROUNDS = 60
-
 
 def _keyed(df: DataFrame, stored: bool) -> DataFrame:
     ev = F.coalesce(F.nullif(F.col("_ev"), F.lit("")), event_key(F.col("title"))) if stored else event_key(F.col("title"))
@@ -36,17 +34,14 @@ def merge(kb: DataFrame, inbox: DataFrame) -> DataFrame:
     candidates = alive.join(holders.select("ev"), "ev", "left_semi")
     todo = cut(alive.join(holders.select("ev"), "ev", "left_anti"))
     appended = None
-    for _ in range(MOST_ROUNDS):
-        if todo.isEmpty():
-            break
+    # Every round settles at least the row of the smallest seq, so the rounds end without a bound on their number.
+    while not todo.isEmpty():
         by_u = todo.where("u is not null").groupBy("u").agg(F.min("seq").alias("fu"))
         by_e = todo.groupBy("ev").agg(F.min("seq").alias("fe"))
         x = todo.join(by_u, "u", "left").join(by_e, "ev")
         now = cut(x.where("fe = seq and (fu is null or fu = seq)").select("seq", "u", "ev", "q"))
         appended = now if appended is None else appended.unionByName(now)
         todo = cut(todo.join(now.select("ev"), "ev", "left_anti").join(now.where("u is not null").select("u").distinct(), "u", "left_anti"))
-    else:
-        raise RuntimeError("merge did not settle")
     appended = cut(appended) if appended is not None else todo
     first = appended.where("u is not null").select("u", F.col("seq").alias("au"))
     rest = alive.join(appended.select("seq"), "seq", "left_anti").join(first, "u", "left").where("au is null or au > seq").select("seq", "ev", "q")

@@ -38,7 +38,7 @@ def shard_facets(spark: SparkSession, d: str) -> DataFrame:
     return facets.shard_facets(kb(spark, d, "category", "region", "department", "quality", "date"), _dims(), 500)
 
 
-@query(f"SELECT dim, value, string_agg(CAST(shard AS VARCHAR), ',' ORDER BY shard) AS shards FROM (SELECT DISTINCT * FROM ({_DIM_SQL})) GROUP BY dim, value")
+@query(f"SELECT DISTINCT dim, value, shard FROM ({_DIM_SQL})")
 def value_shards(spark: SparkSession, d: str) -> DataFrame:
     return facets.value_shards(kb(spark, d, "category", "region", "department", "quality", "date"), _dims(), 500)
 
@@ -213,11 +213,13 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.edges(_entities(spark, d))
 
 
-@query("SELECT s.name AS core, count(DISTINCT k.title) AS n FROM (SELECT DISTINCT name FROM sites WHERE length(name) BETWEEN 3 AND 24) s JOIN (SELECT title FROM kb UNION ALL SELECT content AS title FROM kb WHERE length(content) BETWEEN 4 AND 300) k ON contains(k.title, s.name) AND k.title <> s.name GROUP BY s.name")
+_CORE = r"trim(regexp_replace(regexp_replace(title, '[（(].*?[)）]', '', 'g'), '^(关于|20\d\d年)', ''))"
+
+
+@query(f"WITH t AS (SELECT DISTINCT title FROM kb WHERE length(title) >= 4), c AS (SELECT DISTINCT title, {_CORE} AS core FROM t) SELECT c.title, count(*) AS n FROM c JOIN t ON contains(t.title, c.core) AND t.title <> c.title WHERE length(core) >= 4 GROUP BY c.title")
 def title_mentions(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "kb")
-    titles = k.select("title").unionByName(k.where(F.length("content").between(4, 300)).select(F.col("content").alias("title"))).where(F.length("title") >= 3)
-    return graph.mentions(titles, table(spark, d, "sites").where(F.length("name").between(3, 24)).select(F.col("name").alias("core")))
+    """Titles whose core (remarks in brackets and common beginnings left out) stands in other titles, and in how many."""
+    return graph.title_mentions(kb(spark, d, "title"), "title", [r"[（(].*?[)）]", r"^(关于|20\d\d年)"])
 
 
 @query("SELECT s.name AS core, count(DISTINCT k.title) AS n FROM (SELECT DISTINCT name FROM sites WHERE name <> '') s JOIN (SELECT title FROM kb UNION ALL SELECT content AS title FROM kb) k ON contains(k.title, s.name) AND k.title <> s.name GROUP BY s.name")
@@ -243,10 +245,10 @@ def event_windows_6h(spark: SparkSession, d: str) -> DataFrame:
     return event_windows(table(spark, d, "events"), "ts", "event_type", "6 hours")
 
 
-@query("SELECT doc_id, regexp_replace(array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' '), ' +', ' ', 'g') AS words FROM documents WHERE lang = 'en' AND regexp_matches(text, '[A-Za-z]')")
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[^ \t\n\r]+'), ' ') AS words FROM documents WHERE regexp_matches(text, '[^ \t\n\r]')")
 def abstract_deinvert(spark: SparkSession, d: str) -> DataFrame:
     """Texts inverted to word -> positions and put together again."""
-    w = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("p", "w"))
+    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))).alias("p", "w"))
     m = w.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return m.select("doc_id", fields.deinvert(F.col("m")).alias("words"))
 

@@ -10,7 +10,8 @@ from weirstone.operators import digest, facets, lexicon, matching, merge, scorin
 from weirstone.queries import vocabulary as V
 from weirstone.sources.tables import table
 
-MARKS = r"""[\s\x{3000}\x{a0}·,，.。:：;；!！?？()（）《》“”"''\[\]【】〔〕、\-—_/]+"""
+# Fixed value: the class of TITLE_MARKS for RE2, where white space beyond ASCII must be named.
+MARKS = r"""[\s\x{3000}\x{a0}\x{85}\x{1680}\x{1c}-\x{1f}\x{b}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}《》〈〉【】\[\]()（）"''“”‘’·、,，。.：:;；!！?？—\-_/\\]+"""
 TITLE_SQL = f"lower(regexp_replace(title, '{MARKS}', '', 'g'))"
 _Q = "'"
 
@@ -238,10 +239,13 @@ def backfill_priority(spark: SparkSession, d: str) -> DataFrame:
     return kb(spark, d, "must_rank", "importance", "content").where(F.coalesce("content", F.lit("")) == "").orderBy(F.coalesce("must_rank", F.lit(999)), F.desc("importance"), "seq").limit(50).select("seq", "must_rank", "importance")
 
 
-@query("""WITH k AS (SELECT seq, quality, coalesce(length(content), 0) AS size, (seq % 997) / 997.0::DOUBLE AS pri FROM kb), r AS (SELECT *, sum(size) OVER (ORDER BY pri, seq) AS run FROM k) SELECT seq, size, run <= 200000 AS kept FROM r""")
-def budget_kept(spark: SparkSession, d: str) -> DataFrame:
-    x = kb(spark, d, "content").select("seq", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("size"), ((F.col("seq") % 997) / F.lit(997.0)).alias("pri"))
-    return facets.budget_cut(x, "size", [F.col("pri"), F.col("seq")], 200_000).select("seq", "size", "kept")
+@query("""WITH k AS (SELECT seq, coalesce(length(content), 0) AS size, coalesce(importance, 0) >= 5 AS core, coalesce(summary, '') <> '' AS fit FROM kb),
+r AS (SELECT *, coalesce(sum(CASE WHEN fit THEN size ELSE 0 END) OVER (ORDER BY core, size DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, sum(size) OVER () AS total FROM k)
+SELECT seq, size, fit AND run < total - 300000 AS removed FROM r""")
+def budget_removed(spark: SparkSession, d: str) -> DataFrame:
+    k = kb(spark, d, "content", "importance", "summary")
+    x = k.select("seq", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("size"), (F.coalesce("importance", F.lit(0.0)) >= 5).alias("core"), (F.coalesce("summary", F.lit("")) != "").alias("fit"))
+    return facets.budget_cut(x, "size", [F.col("core"), F.desc("size"), F.col("seq")], 300_000, F.col("fit")).select("seq", "size", "removed")
 
 
 @query("""WITH k AS (SELECT source, seq, quality FROM kb), n AS (SELECT *, CASE WHEN lag(quality) OVER (PARTITION BY source ORDER BY seq) IS NOT DISTINCT FROM quality AND lag(seq) OVER (PARTITION BY source ORDER BY seq) IS NOT NULL THEN 0 ELSE 1 END AS b FROM k),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weirstone.operators.timestamps import normalise_times, times_found
-from weirstone.queries import corpus, records
+from weirstone.queries import annotate, corpus, records
 from weirstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,8 @@ def p7_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_found": p7_found, "p7_status": p7_status} | records.QUERIES | corpus.QUERIES
+    return {"p7_found": p7_found, "p7_status": p7_status} | records.QUERIES | corpus.QUERIES | annotate.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.SQL | corpus.SQL
+    return records.SQL | corpus.SQL | annotate.SQL
