@@ -51,7 +51,7 @@ class ByteBPE:
             for cut in range(1, len(t)):
                 if (a := get(t[:cut])) is not None and (b := get(t[cut:])) is not None:
                     self.pairs[a << 24 | b] = i
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -85,19 +85,31 @@ class ByteBPE:
                     heappush(queue, r << 40 | h)
         return [x for x in ids if x >= 0]
 
+    def _ids(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece that isn't remembered yet."""
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        ids = tuple(self.merge(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) <= 64:
+            self.memo[piece] = ids
+        return ids
+
+    def encode_into(self, text: str, out: list[int]) -> None:
+        """Appends the ids of ``text`` to ``out``."""
+        pieces = self.find(text)
+        for piece, ids in zip(pieces, map(self.memo.get, pieces)):
+            out += ids if ids is not None else self._ids(piece)
+
     def encode(self, text: str) -> list[int]:
-        out, memo = [], self.memo
-        for piece in self.find(text):
-            ids = memo.get(piece)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = self.merge(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= 64:
-                    memo[piece] = ids
-            out += ids
+        out: list[int] = []
+        self.encode_into(text, out)
         return out
 
+    def count(self, text: str) -> int:
+        """The number of ids of ``text``, without making them."""
+        pieces = self.find(text)
+        return sum([len(ids if ids is not None else self._ids(piece)) for piece, ids in zip(pieces, map(self.memo.get, pieces))])
+
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.tokens[i] for i in ids]).decode("utf-8", "replace")
 
@@ -109,10 +121,14 @@ def load(path: str) -> ByteBPE:
 
 
 def _arrow_ids(texts: list[str | None], bpe: ByteBPE) -> pa.Array:
-    ids = [bpe.encode(t) if t else [] for t in texts]
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    flat = np.fromiter((x for row in ids for x in row), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    """One flat array of ids for all texts, cut into lists by offsets."""
+    flat: list[int] = []
+    ends = [0]
+    for t in texts:
+        if t:
+            bpe.encode_into(t, flat)
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -135,7 +151,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            n = [len(bpe.encode(t)) if t else 0 for t in b.column(1).to_pylist()]
+            n = [bpe.count(t) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["k", "n_tokens"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -53,7 +53,7 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_repair.repair(table(spark, sf_dir, "kb").select("seq", "title", "content"), ["content", "title"])
+    return encoding_repair.repair(table(spark, sf_dir, "kb").select("seq", "title", "content", "source"), ["content", "title"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
