@@ -169,6 +169,11 @@ def strip_tags(markup: Column) -> Column:
     return strip(F.regexp_replace(x, f"[{SPACES}]+", " "))
 
 
+def inline_text(markup: Column) -> Column:
+    """Text with tags inside words (marks of search hits) taken out without a trace, white space squeezed."""
+    return strip(F.regexp_replace(entities(F.regexp_replace(markup, r"(?s)<[^>]+>", "")), f"[{SPACES}]+", " "))
+
+
 def join_cjk(text: Column) -> Column:
     """Single blanks between Chinese characters, left by extraction, taken out; runs of blanks and of line feeds squeezed."""
     x = F.regexp_replace(text, r"(?<=[\x{4e00}-\x{9fff}]) (?=[\x{4e00}-\x{9fff}])", "")

@@ -1,8 +1,10 @@
 """Chunk index and ranked retrieval: BM25, TF-IDF cosine, rank fusion, extractive answers.
 
 The index is three tables: chunks(chunk_id, seq, text, dl), postings(chunk_id, term, tf), frequencies
-(term, df). A query is its few terms as literals, so scoring filters postings by them (the filter reaches
-the scan of a stored index) and aggregates by chunk; document frequencies are counted before any join.
+(term, df). A query is its few terms as literals, so scoring filters postings by them and aggregates by chunk;
+document frequencies are counted before any join. ``save`` writes the index for later queries: postings and
+frequencies in buckets by the hash of the term, so a query reads the buckets of its terms only (literals in the
+partition filter) and tokenises nothing, and the norm of every chunk, so a cosine needs no other terms.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,6 +63,83 @@ class Index:
         return t.groupBy("term").agg(F.count("*").alias("df"))
 
 
+    def norms(self) -> DataFrame:
+        """(chunk_id, norm): the length of the TF-IDF vector of every chunk."""
+        df = self.frequencies()
+        w = self.postings.join(df, "term").crossJoin(F.broadcast(self.totals())).withColumn("w", (1 + F.ln(F.col("tf").cast("double"))) * _idf())
+        return w.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+    def save(self, path: str, buckets: int = 256) -> None:
+        """Writes the index below ``path``; the buckets of postings are sorted by term."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        self.chunks.write.parquet(f"{path}/chunks")
+        self.postings.select("*", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self.frequencies().select("*", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/frequencies")
+        self.norms().write.parquet(f"{path}/norms")
+        self.totals().select("*", F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
+
+
+class StoredIndex:
+    """A saved index; ``bm25``, ``search`` and ``answer`` take it like one in memory, ``tfidf`` takes its norms."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.chunks = spark.read.parquet(f"{path}/chunks")
+        self.buckets = spark.read.parquet(f"{path}/totals").first().buckets
+
+    def _of(self, part: str, terms: list[str]) -> DataFrame:
+        one = self.spark.range(1)
+        numbers = one.select(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in sorted(set(terms))]).first()
+        return self.spark.read.parquet(f"{self.path}/{part}").where(F.col("bucket").isin(sorted(set(numbers))) & F.col("term").isin(*set(terms))).drop("bucket")
+
+    def totals(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/totals").select("n", "avgdl")
+
+    def hits(self, terms: list[str]) -> DataFrame:
+        return self._of("postings", terms)
+
+    def frequencies(self, terms: list[str]) -> DataFrame:
+        return self._of("frequencies", terms)
+
+    def norms(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/norms")
+
+
+def _idf() -> Column:
+    return F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1
+
+
+def cosine(index: StoredIndex, terms: list[str], most: int = CANDIDATES) -> DataFrame:
+    """What ``tfidf`` gives, from stored postings of the query's terms and stored norms."""
+    counts = {t: terms.count(t) for t in terms}
+    q = F.coalesce(*[F.when(F.col("term") == t, 1 + F.ln(F.lit(float(n)))) for t, n in counts.items()], F.lit(0.0)) * _idf()
+    one, df = F.broadcast(index.totals()), F.broadcast(index.frequencies(list(counts)))
+    qn = F.broadcast(index.frequencies(list(counts)).crossJoin(one).select(q.alias("q")).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn")))
+    dots = index.hits(list(counts)).join(df, "term").crossJoin(one).groupBy("chunk_id").agg(F.sum((1 + F.ln(F.col("tf").cast("double"))) * _idf() * q).alias("dot")).where("dot > 0")
+    s = dots.join(index.norms(), "chunk_id").where("norm > 0").crossJoin(qn)
+    return s.select("chunk_id", F.round(F.col("dot") / (F.col("norm") * F.col("qn")), 6).alias("score")).orderBy(F.desc("score"), F.desc("chunk_id")).limit(most)
+
+
+def report(index: Index | StoredIndex, hits: DataFrame, records: DataFrame, terms: list[str], documents: int = 10, points: int = 3, references: int = 12, cjk: bool = True) -> DataFrame:
+    """(part, place, label, text) of a report on the hits (chunk_id, seq, score).
+
+    'department': hits by department, most first; 'point': up to ``points`` sentences with a term of the query of each of
+    the first ``documents`` hits, or the beginning of the chunk; 'reference': the first hits themselves. All of
+    fixed lengths, so its windows run over a few rows.
+    """
+    w = Window.orderBy(F.desc("score"), F.desc("chunk_id"))
+    h = cut(hits.join(records.select("seq", "title", "department", "url"), "seq").withColumn("place", F.row_number().over(w)))
+    by = h.groupBy(F.coalesce("department", F.lit("")).alias("label")).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    departments = by.select(F.lit("department").alias("part"), F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("place"), "label", F.col("n").cast("string").alias("text"))
+    q = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
+    top = h.where(F.col("place") <= documents).join(index.chunks.select("chunk_id", F.col("text").alias("chunk")), "chunk_id")
+    some = F.filter(sentences(F.col("chunk"), cjk), lambda s: F.arrays_overlap(tokens(s), q))
+    chosen = F.when(F.size(some) > 0, F.slice(some, 1, points)).otherwise(F.array(F.substring("chunk", 1, 160)))
+    point = top.select("place", "title", F.posexplode(chosen).alias("p", "text")).select(F.lit("point").alias("part"), (F.col("place") * 10 + F.col("p")).alias("place"), F.col("title").alias("label"), "text")
+    reference = h.where(F.col("place") <= references).select(F.lit("reference").alias("part"), "place", F.col("title").alias("label"), F.col("url").alias("text"))
+    return departments.unionByName(point).unionByName(reference)
+
+
 def bm25(index: Index, terms: list[str], most: int = CANDIDATES) -> DataFrame:
     """(chunk_id, score), best first; a chunk's length counts in characters."""
     hits = index.hits(terms)

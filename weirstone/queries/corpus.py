@@ -188,6 +188,14 @@ def ask_sentences(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.answer(index, hits, _terms(), cjk=False)
 
 
+@query()
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of a report: hits by department, points, references."""
+    index = _index(spark, d)
+    hits = retrieval.search(index, kb(spark, d, "quality"), _terms(), F.lit(True), F.lit(1.0), 12)
+    return retrieval.report(index, hits, table(spark, d, "kb"), _terms(), cjk=False)
+
+
 @query(f"SELECT count(*) AS records, count_if(content_fetched) AS fetched, count_if(coalesce(content, '') <> '') AS with_content, sum(length(content))::BIGINT AS chars FROM kb")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return kb(spark, d, "content_fetched", "content").agg(F.count("*").alias("records"), F.count_if("content_fetched").alias("fetched"), F.count_if(F.coalesce("content", F.lit("")) != "").alias("with_content"), F.sum(F.length("content")).cast("long").alias("chars"))
