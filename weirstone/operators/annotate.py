@@ -203,3 +203,11 @@ def ingest_tokens(text: Column) -> Column:
     """Words of two letters or more in their case, blanks taken out before, then pairs over all Chinese characters."""
     t = F.regexp_replace(blank(text), f"[{SPACES}]+", "")
     return F.concat(F.regexp_extract_all(t, F.lit("[a-zA-Z0-9_]{2,}"), F.lit(0)), _gapless_pairs(t))
+
+
+def priority(department: Column, groups: dict[str, list[str]]) -> Column:
+    """The place, from 0, of the first group of terms found in the department; behind all of them where none is."""
+    out = F.lit(len(groups))
+    for i, terms in reversed(list(enumerate(groups.values()))):
+        out = F.when(any_of(department, terms), i).otherwise(out)
+    return out

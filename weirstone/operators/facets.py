@@ -38,10 +38,11 @@ def term_shards(df: DataFrame, seq: str, terms: Column, size: int = 2000) -> Dat
     return pairs.groupBy("term").agg(F.count("*").alias("n_shards"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
 
 
-def coverage_status(content: Column, kind: Column, pdf: Column, least: int) -> Column:
-    """fulltext, abstract, pdf_only or missing."""
+def coverage_status(content: Column, kind: Column, pdf: Column, least: int, valid: Column | None = None) -> Column:
+    """fulltext, abstract, pdf_only or missing; a text that isn't ``valid`` (by default: too short) is none."""
     has = F.length(F.coalesce(content, F.lit(""))) > 0
-    return F.when(has & ((kind == "abstract") | content.startswith("摘要")), "abstract").when(has & (F.length(content) >= least), "fulltext").when(F.coalesce(pdf, F.lit("")) != "", "pdf_only").otherwise("missing")
+    good = (F.length(content) >= least) if valid is None else valid
+    return F.when(has & ((kind == "abstract") | content.startswith("摘要")), "abstract").when(has & ~good, "missing").when(has & good, "fulltext").when(F.coalesce(pdf, F.lit("")) != "", "pdf_only").otherwise("missing")
 
 
 def with_percent(counts: DataFrame, n: str = "n", by: list[str] | None = None) -> DataFrame:

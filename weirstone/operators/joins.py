@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weirstone.functions.fields import title_unbracketed
 from weirstone.operators.annotate import first_group
@@ -60,3 +61,24 @@ def names_to_records(names: DataFrame, records: DataFrame, least: int = 6) -> Da
     around = n.select("name", parts("n", range(least, max(sizes, default=least) + 1)).alias("t")).join(long, "t").select("name", "seq", F.lit(1).alias("p"))
     best = equal.unionByName(inside).unionByName(around).groupBy("name").agg(F.min(F.struct("p", "seq")).alias("m"))
     return best.select("name", "m.seq", F.when(F.col("m.p") == 0, "equal").otherwise("part").alias("how"))
+
+
+def unique_ids(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds ``unique``: the key, with an x for each record of the same key before it. Records of one key are few by nature (copies of an address)."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return df.withColumn("unique", F.concat(F.col(key), F.repeat(F.lit("x"), n)))
+
+
+def unseen(df: DataFrame, seen: DataFrame, keys: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows of ``df`` none of whose keys is in ``seen``; a key is (of df, of seen), null and empty ones match nothing. One anti join a key, each on distinct values."""
+    for name, (mine, theirs) in keys.items():
+        known = seen.select(theirs.alias(f"_{name}")).where(F.coalesce(F.col(f"_{name}"), F.lit("")) != "").distinct()
+        df = df.withColumn(f"_{name}", mine).join(known, f"_{name}", "left_anti").drop(f"_{name}")
+    return df
+
+
+def apply_sources(records: DataFrame, sources: DataFrame) -> DataFrame:
+    """records(seq, title, url), sources(name, url, publisher) -> records with address and publisher of the source whose name they bear; the smallest name where there are several."""
+    m = names_to_records(sources.select("name"), records).join(sources.where("url <> ''").groupBy("name").agg(F.min(F.struct("url", "publisher")).alias("s")), "name")
+    one = m.groupBy("seq").agg(F.min_by(F.struct("s.url", "s.publisher"), "name").alias("s")).select("seq", F.col("s.url").alias("_url"), F.col("s.publisher").alias("publisher"))
+    return records.join(one, "seq", "left").withColumn("url", F.coalesce("_url", "url")).drop("_url")

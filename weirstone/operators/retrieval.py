@@ -187,6 +187,20 @@ def search(index: Index, records: DataFrame, terms: list[str], keep: Column, boo
     return hits.where(keep).select("chunk_id", "seq", F.round(F.col("rrf") * boost, 6).alias("score")).orderBy(F.desc("score"), F.desc("chunk_id")).limit(most)
 
 
+def metadata(department: str | None = None, region: str | None = None, category: str | None = None, quality: str | None = None, since: str | None = None, until: str | None = None) -> Column:
+    """The filter of a search: parts of department and region, the category, the least quality, the days as text; what isn't given doesn't filter."""
+    out = F.lit(True)
+    for name, part in (("department", department), ("region", region)):
+        if part:
+            out = out & F.coalesce(name, F.lit("")).contains(part)
+    if category:
+        out = out & F.coalesce(F.col("category") == category, F.lit(False))
+    if quality:
+        out = out & F.coalesce(F.col("quality") <= quality, F.lit(False))
+    day = F.coalesce("date", F.lit(""))
+    return out & (day >= since if since else F.lit(True)) & (day <= until if until else F.lit(True))
+
+
 def answer(index: Index, hits: DataFrame, terms: list[str], most: int = 5, cjk: bool = True) -> DataFrame:
     """(sentence, overlap, rank): sentences of the hits by shared tokens, then length; the same beginning once. ``cjk`` as the index was built."""
     s = index.chunks.join(F.broadcast(hits.select("chunk_id", "score")), "chunk_id").select("chunk_id", F.posexplode(sentences(F.col("text"), cjk)).alias("p", "sentence"))

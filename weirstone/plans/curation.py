@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirstone.functions import fields as C
-from weirstone.operators import facets, graph, lexicon, scoring
+from weirstone.operators import annotate, facets, graph, lexicon, scoring
 from weirstone.operators.merge import merge
 from weirstone.sources.tables import cut
 
@@ -32,6 +32,17 @@ def normalise(df: DataFrame, v: Vocabulary) -> DataFrame:
     return df.withColumns({"region": C.remap(F.col("region"), v.regions), "department": C.clamp(F.col("department"), v.departments, "其他"), "url": C.repair_doi(F.col("url"))})
 
 
+def policy_records(items: DataFrame, v: Vocabulary, rules: dict, added_at: str) -> DataFrame:
+    """Items of a policy library as records: cleaned, relevant ones only, labelled and with their key."""
+    title, summary = C.sanitize(F.col("title")), C.sanitize(F.coalesce("summary", F.lit("")))
+    d = items.where((F.coalesce("title", F.lit("")) != "") & lexicon.relevant(F.col("title"), F.col("summary"), v.core)).select(title.alias("title"), "url", "source", "doc_no", summary.alias("summary"), "date")
+    text = F.concat_ws(" ", "title", "summary")
+    return d.select(
+        "*", annotate.first_group(F.concat_ws(" ", "title", "source"), rules["departments"], F.lit("其他")).alias("department"), lexicon.cascade(F.col("title"), rules["categories"], "policy").alias("category"),
+        annotate.first_group(text, rules["regions"], F.lit("全国")).alias("region"), F.array_compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in v.core])).alias("tags"), C.record_id(F.col("url"), F.col("title"), F.col("date")).alias("cid"), F.lit(added_at).alias("added_at"),
+    )
+
+
 def take_in(kb: DataFrame, inbox: DataFrame) -> DataFrame:
     """kb with the inbox merged: appended rows at the end, replacing rows in their holder's position."""
     shared = [c for c in kb.columns if c in inbox.columns and c != "seq"]

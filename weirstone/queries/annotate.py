@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from weirstone.functions import fields
 from weirstone.operators import annotate as A
-from weirstone.operators import digest, facets, graph, html, joins, lexicon
+from weirstone.operators import digest, facets, graph, html, joins, lexicon, retrieval, scoring
 from weirstone.queries import vocabulary as V
 from weirstone.queries.records import _sql, kb
 from weirstone.sources.tables import table
@@ -423,3 +423,58 @@ def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT doc_id // 100 AS shard, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents)")
 def term_postings(spark: SparkSession, d: str) -> DataFrame:
     return facets.term_postings(table(spark, d, "documents"), "doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0)), 100)
+
+
+@query("SELECT seq, cid || repeat('x', CAST(row_number() OVER (PARTITION BY cid ORDER BY seq) - 1 AS INT)) AS unique FROM kb")
+def unique_ids(spark: SparkSession, d: str) -> DataFrame:
+    return joins.unique_ids(kb(spark, d, "cid"), "cid", "seq").select("seq", "unique")
+
+
+_KEY = "lower(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', ''))"
+
+
+@query(f"SELECT seq FROM inbox i WHERE NOT EXISTS (SELECT 1 FROM (SELECT {_KEY} AS u FROM kb WHERE coalesce(url, '') <> '') k WHERE k.u = {_KEY.replace('url', 'i.url')}) AND NOT EXISTS (SELECT 1 FROM kb k WHERE k.title = i.title AND coalesce(k.title, '') <> '') AND NOT EXISTS (SELECT 1 FROM kb k WHERE k._ev = i._ev AND coalesce(k._ev, '') <> '')")
+def unseen_records(spark: SparkSession, d: str) -> DataFrame:
+    u, t, e = fields.url_key(F.col("url")), F.col("title"), F.col("_ev")
+    return joins.unseen(table(spark, d, "inbox").select("seq", "url", "title", "_ev"), kb(spark, d, "url", "title", "_ev"), {"u": (u, u), "t": (t, t), "e": (e, e)}).select("seq")
+
+
+@query("SELECT seq FROM kb WHERE contains(coalesce(department,''), '水') AND category = 'policy' AND quality <= 'B' AND coalesce(date,'') >= '2012' AND coalesce(date,'') <= '2024-06-30'")
+def metadata_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return kb(spark, d, "department", "region", "category", "quality", "date").where(retrieval.metadata("水", None, "policy", "B", "2012", "2024-06-30")).select("seq")
+
+
+_OWN = r"regexp_replace(name, '[^\x{4e00}-\x{9fff}A-Za-z0-9]+', '', 'g')"
+
+
+@query(f"""WITH x AS (SELECT seq, title, coalesce(length(content), 0) AS n, coalesce(water_rel, 0) AS m, pdf, CASE WHEN seq % 2 = 0 THEN '关于《' || title || '》的说明' ELSE title END AS t, title AS name, content FROM kb WHERE title IS NOT NULL),
+y AS (SELECT *, {_OWN} AS own, list_filter(list_transform(regexp_extract_all(t, '《([^》]{{4,60}})》', 1), lambda z: regexp_replace(z, '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9]+', '', 'g')), lambda z: length(z) >= 6) AS named FROM x)
+SELECT seq, CASE WHEN (len(named) = 0 OR (len(list_filter(named, lambda z: contains(own, z) OR contains(z, own))) > 0 AND m >= 0.8)) AND m >= 0.45 AND n >= 600 THEN round(0.7::DOUBLE * 0.4::DOUBLE + least(1.0::DOUBLE, n / 4000.0::DOUBLE) * 0.3::DOUBLE + m * 0.3::DOUBLE + (CASE WHEN coalesce(pdf,'') <> '' THEN 0.03::DOUBLE ELSE 0 END), 3) ELSE 0.0 END AS score FROM y""")
+def origin_scores(spark: SparkSession, d: str) -> DataFrame:
+    k = kb(spark, d, "title", "content", "water_rel", "pdf").where("title is not null")
+    t = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("关于《"), "title", F.lit("》的说明"))).otherwise(F.col("title"))
+    s = scoring.origin_score(t, F.col("title"), F.coalesce("water_rel", F.lit(0.0)), F.coalesce(F.length("content"), F.lit(0)), F.lit(0.7), F.coalesce("pdf", F.lit("")) != "", F.lit(True))
+    return k.select("seq", s.alias("score"))
+
+
+@query("SELECT seq, to_json({'title': coalesce(title, ''), 'year': substr(coalesce(date, ''), 1, 4), 'n': coalesce(length(content), 0)}) AS line FROM kb WHERE NOT contains(coalesce(title,''), chr(92)) AND NOT contains(coalesce(title,''), '/')")
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    k = kb(spark, d, "title", "date", "content").where(~F.coalesce("title", F.lit("")).rlike("[\\\\/]"))
+    return k.select("seq", F.to_json(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.substring(F.coalesce("date", F.lit("")), 1, 4).alias("year"), F.coalesce(F.length("content"), F.lit(0)).alias("n"))).alias("line"))
+
+
+_GROUPS = {"water": ["水利", "水"], "eco": ["生态", "环境"], "build": ["住建"]}
+
+
+@query(f"SELECT priority, count(*) AS n FROM (SELECT {_when([(_any('coalesce(department,' + chr(39) * 2 + ')', ts), str(i)) for i, ts in enumerate(_GROUPS.values())], str(len(_GROUPS)))} AS priority FROM kb) GROUP BY priority")
+def department_priority(spark: SparkSession, d: str) -> DataFrame:
+    return kb(spark, d, "department").groupBy(A.priority(F.col("department"), _GROUPS).alias("priority")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH s AS (SELECT name, min(struct_pack(u := url, p := code)) AS s FROM std_index WHERE coalesce(name,'') <> '' AND url <> '' GROUP BY name), n AS (SELECT name, {_law("coalesce(name,'')")} AS n FROM s), r AS (SELECT seq, {_law(T)} AS t FROM kb),
+e AS (SELECT name, min(seq) AS seq FROM n JOIN r ON n = t GROUP BY name), c AS (SELECT name, min(seq) AS seq FROM n JOIN r ON length(t) >= 6 AND (contains(t, n) OR contains(n, t)) WHERE n <> '' GROUP BY name),
+m AS (SELECT s.name, coalesce(e.seq, c.seq) AS seq, s.s FROM s LEFT JOIN e USING (name) LEFT JOIN c USING (name)), o AS (SELECT seq, min_by(s, name) AS s FROM m WHERE seq IS NOT NULL GROUP BY seq)
+SELECT kb.seq, coalesce(o.s.u, kb.url) AS url, o.s.p AS publisher FROM kb LEFT JOIN o USING (seq)""")
+def sourced_records(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "std_index").select("name", "url", F.col("code").alias("publisher"))
+    return joins.apply_sources(kb(spark, d, "title", "url"), s).select("seq", "url", "publisher")

@@ -43,7 +43,7 @@ def value_shards(spark: SparkSession, d: str) -> DataFrame:
     return facets.value_shards(kb(spark, d, "category", "region", "department", "quality", "date"), _dims(), 500)
 
 
-_STATUS = "CASE WHEN coalesce(content,'') <> '' AND (content_kind = 'abstract' OR starts_with(content, '摘要')) THEN 'abstract' WHEN coalesce(content,'') <> '' AND length(content) >= 200 THEN 'fulltext' WHEN coalesce(pdf,'') <> '' THEN 'pdf_only' ELSE 'missing' END"
+_STATUS = "CASE WHEN coalesce(content,'') <> '' AND (content_kind = 'abstract' OR starts_with(content, '摘要')) THEN 'abstract' WHEN coalesce(content,'') <> '' AND length(content) >= 200 THEN 'fulltext' WHEN coalesce(content,'') <> '' THEN 'missing' WHEN coalesce(pdf,'') <> '' THEN 'pdf_only' ELSE 'missing' END"
 
 
 def _covered(spark: SparkSession, d: str) -> DataFrame:

@@ -41,3 +41,9 @@ def append_inbox(df: DataFrame, path: str) -> None:
 def read_shards(spark: SparkSession, path: str, shards: list[int]) -> DataFrame:
     """Only the named shards are scanned."""
     return spark.read.parquet(path).where(F.col("shard").isin(shards))
+
+
+def write_report(parts: dict[str, DataFrame], path: str) -> None:
+    """Small tables as JSON lines, a folder each; a report of counts has few rows."""
+    for name, df in parts.items():
+        df.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
