@@ -87,8 +87,9 @@ _INSIDE = defaultdict(list)
 for _k in SPOTS:
     _INSIDE[_k[0]].append(_k)
 _SPECK = re.compile(rf"(?<=[一-鿿])[{re.escape(_SPECKS)}](?=[一-鿿])|(?<=[a-z])[{re.escape(_SPECKS)}](?=[a-z])")
-#: A whole word inside a line; those at its ends may be parts.
-_WORD = re.compile(rf"(?<=[^A-Za-z])[A-Za-z]{{5,}}(?=[^A-Za-z{_MARKS}])")
+#: A whole word inside a line, and no name; those at its ends may be parts.
+_WORD = re.compile(rf"(?<=[^A-Za-z])[a-z]{{5,}}(?=[^A-Za-z{_MARKS}])")
+_FIRST, _LAST = re.compile(r"\s*[A-Za-z]*"), re.compile(rf"[A-Za-z]*[{_MARKS}]?\s*$")
 
 
 def _kind(c: str) -> str:
@@ -213,10 +214,12 @@ class ScanModel:
         act = f"{seen}>{meant}"
         return [f"s{seen}", f"S{kp}{kn}", f"K{loses}"], [f"a{act}", f"k{act}{kp}{kn}", f"r{fits}-{loses}", f"R{act}{min(fits, 4)}-{min(loses, 4)}", f"n{act}{n}", f"p{act}{p}", f"V{seen.isascii()}{meant.isdigit()}"]
 
-    def fix_line(self, line: str) -> tuple[str, int]:
-        """(repaired, number of edits)."""
+    def fix_line(self, line: str, after_break: bool = False, broken: bool = False) -> tuple[str, int]:
+        """(repaired, number of edits). The first word behind a broken one, and the broken one itself, are parts of words and stay."""
         out, at, n, best, where = [], 0, 0, None, -1
-        for i, seen, readings in [*self.spots(line), (len(line) + 1, "", [])]:
+        low, high = _FIRST.match(line).end() if after_break else 0, _LAST.search(line).start() if broken else len(line)
+        whole = [x for x in self.spots(line) if low <= x[0] and x[0] + len(x[1]) <= high]
+        for i, seen, readings in [*whole, (len(line) + 1, "", [])]:
             if i != where:  # the best edit of a place is made when the next place comes
                 if best:
                     out += [line[at : best[3]], best[2]]
@@ -572,13 +575,16 @@ def find_noise(lines: list[str], title: str, model: ScanModel) -> tuple[list[str
     lengths = sorted(len(lines[i]) for i in body)
     width = lengths[int(len(lengths) * 0.8)] if lengths else 1
     out: list[str] = []
+    broken = False
     for j, i in enumerate(body):
-        line, n = model.fix_line(lines[i])
-        if n:
-            found.append((i, "misread"))
+        before, line = broken, lines[i]
         after = lines[body[j + 1]] if j + 1 < len(body) else ""
         act = model.line_end(line, after, width) if after else "keep"
-        if act == "mend" and _BROKEN.search(line) and after.strip()[:1].isalpha():
+        broken = act == "mend" and bool(_BROKEN.search(line)) and after.strip()[:1].isalpha()
+        line, n = model.fix_line(line, before, broken)
+        if n:
+            found.append((i, "misread"))
+        if broken:
             found.append((i, "split_word"))
         elif act == "mend":
             act = "join"
