@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,37 @@ def test_encoding_round_trips(spark):
     assert encoding_repair.repair(df.limit(0), ["content", "title"]).count() == 0
 
 
+def test_dictionaries_come_from_all_values(spark):
+    # The phrase stands only in values with a great hash, which the 6,000 of the smallest hashes never held.
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n))
+    phrase = "weir crest gauged at the lower sluice"
+    some = spark.createDataFrame([(f"{words(4)} {phrase} {words(4)}",) for _ in range(1_200)], "content string").where(F.xxhash64("content") > 1 << 62)
+    texts = [words(8) for _ in range(13_000)] + [x.content for x in some.collect()] + [None, "", "\n", "短"]
+    df = spark.createDataFrame([(x,) for x in texts], "content string")
+    model = encoding_repair.fit(df, ["content"])
+    assert phrase.encode() in model.dictionaries[0]
+    counts, each, lines = encoding_repair.count_stretches(df, "")[encoding_repair._LANGUAGES.index("latin")]
+    whole = [x.encode() for x in texts if x and len(x) >= 8]
+    assert lines == len(whole) and each.sum() == sum(map(len, whole)) and each[ord("a")] == sum(x.count(b"a") for x in whole)
+    at = encoding_repair.stretches([phrase.encode()])[1][: len(phrase) - 7]
+    exact = [sum(phrase[i : i + 8].encode() in x for x in whole) for i in range(len(at))]
+    assert min(exact) > 200 and all(exact[i] <= counts[c] < exact[i] + 20 for i, c in enumerate(at))  # cells are shared by chance
+    # The same from other parts, in another order.
+    again = encoding_repair.fit(df.orderBy(F.xxhash64("content")).repartition(7), ["content"])
+    assert (again.common, again.dictionaries) == (model.common, model.dictionaries)
+    assert encoding_repair.fit(df.limit(0), ["content"]).dictionaries == [b"\n" * 8]
+
+
+def test_cover():
+    lines = [b"the lower sluice was opened", b"the upper sluice was closed", b"0123456789"]
+    counts = encoding_repair.stretches(lines)[1]
+    counts = np.bincount(counts[counts >= 0], minlength=encoding_repair.CELLS)
+    got = encoding_repair.cover(lines, counts, 1000)
+    assert all(x[:8] in got and x[-8:] in got for x in lines) and len(got) <= sum(map(len, lines))
+    assert len(encoding_repair.cover(lines, counts, 20)) == 20 and encoding_repair.cover([], counts, 20) == b""
+
+
 # 6
 
 

@@ -2,7 +2,9 @@
 
 Characters are counted over all values, apart for GROUPS groups of sources: common is what stands in a share of
 the values of most groups, so a source that is damaged throughout can't make its own damage common. One
-zstandard dictionary for each language (told by its script) is trained on a bounded sample of clean lines.
+zstandard dictionary for each language (told by its script) is made of segments of the clean lines, chosen by the
+COVER rule with counts over all lines: a first pass adds up how often every stretch of eight bytes occurs, a second
+finds the best segment that starts with each of the most frequent ones (as many as a dictionary has bytes), and the driver covers the counts with them.
 Lines that hold uncommon characters are decoded anew along chains (text -> bytes by the wrong encoding -> text by
 the right one, up to three times); every candidate is compressed with every dictionary, and the BEAM shortest are
 decoded further. The chain of least description length, its own cost included, wins; if none beats the
@@ -21,17 +23,21 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.spread import bounded_sample
 from weirstone.sources.tables import cut
 
-#: Values the dictionaries are trained on at most; the share of a group's values a common character stands in; groups of sources; values from which on a group counts.
-SAMPLE, COMMON, GROUPS, GROUP_LEAST = 6_000, 0.01, 32, 50
+#: The share of a group's values a common character stands in; groups of sources; values from which on a group counts.
+COMMON, GROUPS, GROUP_LEAST = 0.01, 32, 50
 DICTIONARY_BYTES, LEAST_LINES = 48_000, 20
+#: Bytes of the stretches that are counted, of a segment at most, and kept around what a segment adds; cells of the table of counts.
+STRETCH, SEGMENT, MARGIN, CELLS = 8, 160, 16, 1 << 20
+#: Bytes that show zstandard how often each byte stands in all lines.
+SINGLES = 1 << 19
 #: Description length in bytes of a step to UTF-8 (few texts are valid UTF-8 by chance), of a step to another encoding, and of leaving a character lost.
 STEP_COST, OTHER_COST, LOST_COST = 1.5, 6.0, 2.0
 #: Candidates decoded further after each step, and how much longer than the line they may be.
@@ -218,12 +224,15 @@ class Model:
 
 # Scripts by their blocks, the first that has most letters of a text tells its language.
 _SCRIPTS = {"han": "一-鿿", "kana": "ぁ-ヿ", "hangul": "가-힯", "cyrillic": "Ѐ-ӿ", "greek": "Ͱ-Ͽ", "arabic": "؀-ۿ", "hebrew": "֐-׿", "thai": "฀-๿", "devanagari": "ऀ-ॿ"}
-_SCRIPTS = {k: re.compile(f"[{v}]") for k, v in _SCRIPTS.items()}
+_SCRIPTS = {k: re.compile(f"[{v}]+") for k, v in _SCRIPTS.items()}
+_LANGUAGES = [*_SCRIPTS, "latin"]
+# Fixed value: the offsets 1, 4, 8, which end the header of a zstandard dictionary (RFC 8878, section 5).
+_OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 
 
 def _language(text: str) -> str:
     """The script that has a fifth of the characters, else Latin."""
-    counts = {k: len(p.findall(text)) for k, p in _SCRIPTS.items()} if not text.isascii() else {}
+    counts = {k: sum(map(len, p.findall(text))) for k, p in _SCRIPTS.items()} if not text.isascii() else {}
     best = max(counts, key=counts.get, default=None)
     return best if best and counts[best] * 5 > len(text) else "latin"
 
@@ -261,34 +270,162 @@ def ordinary(common: str) -> str:
     return "".join(sorted({c for c in common if not latin(c) and not ("\ue000" <= c <= "\uf8ff") and c not in "�锟烫屯"} | set(_ORDINARY)))
 
 
-def dictionaries(texts: list[str], common: str) -> list[bytes]:
-    """One for each language that has LEAST_LINES clean lines; one of the text itself where there is too little of any."""
-    import zstandard as z
-
+def clean_lines(batches: Iterator[pa.RecordBatch], common: str, least: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(language, clean lines of it), some ``least`` bytes at a time."""
     odd = re.compile("[^\x00-\x7f" + re.escape(common) + "]")
     damaged = re.compile(f"(?:{odd.pattern}){{2}}|[�\u0080-\u009fÂÃâ]")
-    plain: dict[str, list[bytes]] = defaultdict(list)
-    for t in texts:
-        for line in t.split("\n"):
-            # Accented words belong in the dictionaries too; lines with two odd characters in a row don't.
-            if len(line) >= 8 and not damaged.search(line):
-                plain[_language(line)].append(line.encode("utf-8", "replace"))
+    held: dict[int, list[bytes]] = defaultdict(list)
+    size: Counter = Counter()
+    for b in batches:
+        for column in b.columns:
+            for v in column.to_pylist():
+                for line in (v or "").split("\n"):
+                    # Accented words belong in the dictionaries too; lines with two odd characters in a row don't.
+                    if len(line) >= 8 and not damaged.search(line):
+                        g = _LANGUAGES.index(_language(line))
+                        held[g].append(line.encode("utf-8", "replace"))
+                        size[g] += len(held[g][-1])
+                        if size[g] >= least:
+                            size[g] = 0
+                            yield g, held.pop(g)
+    yield from held.items()
+
+
+def stretches(lines: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The lines in one buffer; for each place in it the cell of the STRETCH bytes from there on (-1 where their line is over before), and the end of its line."""
+    raw = b"\n".join(lines) + b"\n" * STRETCH
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+    ends = np.repeat(np.cumsum(sizes) - 1, sizes)
+    eight = np.ndarray((len(ends),), "<u8", raw, 0, (1,))
+    cells = ((eight * np.uint64(0xCF1BBCDCB7A56463)) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    cells[np.arange(len(ends)) + STRETCH > ends] = -1
+    return raw, cells, ends
+
+
+def count_stretches(df: DataFrame, common: str) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
+    """Language -> (counts of the stretches by cell, counts of the bytes, clean lines), over all lines of all columns; at most CELLS numbers and a few a language come to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(CELLS + 257, np.int64))
+        for g, lines in clean_lines(batches, common):
+            cells = stretches(lines)[1]
+            held[g][:CELLS] += np.bincount(cells[cells >= 0], minlength=CELLS)
+            held[g][CELLS:-1] += np.bincount(np.frombuffer(b"".join(lines), np.uint8), minlength=256)
+            held[g][-1] += len(lines)
+        for g, n in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["g", "cell", "n"])
+
+    rows = df.mapInArrow(work, "g int, cell int, n bigint").groupBy("g", "cell").agg(F.sum("n").alias("n")).toArrow()
+    g, cell, n = (c.to_numpy() for c in rows.columns)
+    out = {}
+    for k in np.unique(g):
+        whole = np.zeros(CELLS + 257, np.int64)
+        whole[cell[g == k]] = n[g == k]
+        out[int(k)] = whole[:CELLS], whole[CELLS:-1], int(whole[-1])
+    return out
+
+
+def best_segments(df: DataFrame, common: str, counts: dict[int, np.ndarray]) -> dict[int, list[bytes]]:
+    """Language -> for each of its DICTIONARY_BYTES most frequent stretches the segment, of all that start with it in any line, whose stretches have the greatest sum of counts."""
+    tops = {g: np.argsort(-n, kind="stable")[: min(DICTIONARY_BYTES, np.count_nonzero(n))] for g, n in counts.items()}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, best, found = {}, {}, {}
+        for g, top in tops.items():
+            place[g], best[g], found[g] = np.full(CELLS + 1, -1, np.int64), np.zeros(len(top), np.int64), {}
+            place[g][top] = np.arange(len(top))
+        for g, lines in clean_lines(batches, common):
+            if g not in tops:
+                continue
+            raw, cells, ends = stretches(lines)
+            start = place[g][cells]  # a cell of -1 is the last, which is none
+            at = np.flatnonzero(start >= 0)
+            end = np.minimum(at + SEGMENT, ends[at])
+            n = np.where(cells >= 0, counts[g][cells], 0)
+            # The sum of counts; among equal ones the bits of a sum of hashes decide, so any order of lines gives the same segment.
+            sums, marks = (np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)]) for x in (n, (cells + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            stop = end - STRETCH + 1
+            score = ((sums[stop] - sums[at]) << 20) | ((marks[stop] - marks[at]) >> np.uint64(44)).astype(np.int64)
+            start = start[at]
+            better = score > best[g][start]
+            at, end, start, score = at[better], end[better], start[better], score[better]
+            np.maximum.at(best[g], start, score)
+            won = score == best[g][start]
+            which, first = np.unique(start[won], return_index=True)
+            for k, a, z in zip(which.tolist(), at[won][first].tolist(), end[won][first].tolist()):
+                found[g][k] = raw[a:z]
+        for g, held in found.items():
+            ks = list(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ks), g, np.int32)), pa.array(ks, pa.int32()), pa.array(best[g][ks]), pa.array([held[k] for k in ks], pa.binary())], names=["g", "start", "score", "segment"])
+
+    rows = df.mapInArrow(work, "g int, start int, score bigint, segment binary").groupBy("g", "start").agg(F.max(F.struct("score", "segment")).alias("x")).select("g", "start", "x.segment").toArrow()
+    out: dict[int, list[bytes]] = defaultdict(list)
+    for g, _, segment in sorted(zip(*(c.to_pylist() for c in rows.columns))):
+        out[g].append(segment)
+    return out
+
+
+def cover(segments: list[bytes], counts: np.ndarray, size: int) -> bytes:
+    """At most ``size`` bytes: again and again the segment with the greatest sum of counts not yet covered, of it what isn't covered and MARGIN bytes around; the best stand last, where they are cheapest to refer to."""
+    if not segments:
+        return b""
+    cells, n = stretches(segments)[1], len(segments)
+    cells = cells[cells >= 0]
+    sizes = np.fromiter(map(len, segments), np.int64, n) - STRETCH + 1
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    # The segments that hold each cell, cell after cell.
+    held = np.sort(cells * n + np.repeat(np.arange(n), sizes))
+    cell, who = (x.astype(np.int32) for x in np.divmod(held[np.diff(held, prepend=-1) > 0], n))
+    first = np.searchsorted(cell, np.arange(CELLS + 1, dtype=np.int32))
+    left = counts.copy()
+    gain = np.bincount(who, counts[cell], n)
+    out, room = [], size
+    while room > 0:
+        i = int(gain.argmax())
+        mine = cells[begin[i] : begin[i + 1]]
+        fresh = np.flatnonzero(left[mine])
+        if not len(fresh):
+            break
+        out.append(segments[i][max(0, fresh[0] - MARGIN) : fresh[-1] + STRETCH + MARGIN])
+        room -= len(out[-1])
+        for x in np.unique(mine[fresh]):
+            gain[who[first[x] : first[x + 1]]] -= left[x]
+            left[x] = 0
+    return b"".join(reversed(out))[-size:]
+
+
+def with_tables(content: bytes, segments: list[bytes], each: np.ndarray) -> bytes:
+    """The content behind zstandard's entropy tables: of lengths and offsets as the segments have them, of single bytes as often as in all lines (``each``); alone where there is too little text."""
+    import zstandard as z
+
+    # Bytes in their shares in all lines, in an order that repeats nothing, stand for what no segment holds.
+    single = np.repeat(np.arange(256, dtype=np.uint8), np.ceil(each * (SINGLES / max(1, each.sum()))).astype(np.int64))
+    single = np.random.default_rng(0).permutation(single).tobytes()
+    samples = segments + [single[i : i + SEGMENT] for i in range(0, len(single), SEGMENT)]
+    try:
+        trained = z.train_dictionary(max(1024, len(content)), samples, k=SEGMENT, d=STRETCH).as_bytes()
+    except z.ZstdError:
+        return content
+    return trained[: trained.index(_OFFSETS) + len(_OFFSETS)] + content
+
+
+def dictionaries(df: DataFrame, common: str) -> list[bytes]:
+    """One for each language that has LEAST_LINES clean lines, from all its lines; of whatever there is where no language has."""
+    counted = count_stretches(df, common)
+    enough = {g: x for g, x in counted.items() if x[2] >= LEAST_LINES} or counted
+    segments = best_segments(df, common, {g: n for g, (n, _, _) in enough.items()}) if enough else {}
     out = []
-    for _, lines in sorted(plain.items()):
-        total = sum(map(len, lines))
-        if len(lines) >= LEAST_LINES:
-            try:
-                out.append(z.train_dictionary(max(1024, min(DICTIONARY_BYTES, total // 6)), lines).as_bytes())
-            except z.ZstdError:  # too little text: the text itself
-                out.append(b"\n".join(lines)[:DICTIONARY_BYTES] or b"\n" * 8)
-    return out or [b"\n".join(x for lines in plain.values() for x in lines)[:DICTIONARY_BYTES] or b"\n" * 8]
-
-
-def fit(df: DataFrame, fields: list[str], source: str | None = None, sample: int = SAMPLE) -> Model:
-    """Characters counted over all values; dictionaries from at most ``sample`` values, chosen by a hash of their content (the only rows that reach the driver)."""
+    for g, some in sorted(segments.items()):
+        counts, each, _ = enough[g]
+        out.append(with_tables(cover(some, counts, max(1024, min(DICTIONARY_BYTES, int(each.sum()) // 6))), some, each))
+    return out or [b"\n" * 8]
+
+
+def fit(df: DataFrame, fields: list[str], source: str | None = None) -> Model:
+    """Characters and dictionaries, both counted over all values."""
     common = ordinary(common_characters(df, fields, source))
-    values = df.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("v"))
-    return Model(common, dictionaries([r[0] for r in bounded_sample(values, ["v"], sample, F.length("v") > 0).toLocalIterator()], common))
+    return Model(common, dictionaries(df.select(*fields), common))
 
 
 def repair(df: DataFrame, fields: list[str], key: str = "seq", source: str = "source", model: Model | None = None) -> DataFrame:
