@@ -3,9 +3,11 @@
 import os
 import random
 import re
-from collections import Counter
+import sys
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +246,69 @@ def test_cover():
     assert len(encoding_repair.cover(lines, counts, 20)) == 20 and encoding_repair.cover([], counts, 20) == b""
 
 
+def _calls(f) -> int:
+    """Calls of Python functions and methods that f makes."""
+    n = 0
+
+    def count(_, event, __):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_clean_lines(monkeypatch):
+    r = random.Random(9)
+    common = "·，的水文"
+    alphabet = "abc  xyz09" * 3 + "的水文，" * 6 + "站监測かナ가힣жяΩπ\u0600א\u0e01अé" + "Ã\u0085�𝒳\r"
+    line = lambda: "".join(r.choice(alphabet[: r.choice((30, 54, 60, len(alphabet)))]) for _ in range(r.randrange(30)))
+    values = ["\n".join(line() for _ in range(r.randrange(9))) for _ in range(3_000)] + [None, "", "\n", "a" * 7, "a" * 8, "的" * 8 + "\n\n", "é" * 9, "的水" + "a" * 8, "的水文" + "a" * 11, *(f"{c}a" * 5 for c in "監かナ가жπ\u0600א\u0e01अÄ")]
+    # One line after the other.
+    odd = re.compile(f"[^\x00-\x7f{common}]{{2}}|[�\u0080-\u009fÂÃâ]")
+    scripts = {k: re.compile(f"[{v}]") for k, v in encoding_repair._SCRIPTS.items()}
+    want = defaultdict(list)
+    for x in "\n".join(v or "" for v in values).split("\n"):
+        if len(x) >= 8 and not odd.search(x):
+            counts = {k: len(p.findall(x)) for k, p in scripts.items()}
+            best = max(counts, key=counts.get)
+            want[encoding_repair._LANGUAGES.index(best if counts[best] * 5 > len(x) else "latin")].append(x.encode())
+    assert len(want) == len(encoding_repair._LANGUAGES) and sum(map(len, want.values())) > 1_000
+    batch = pa.RecordBatch.from_arrays([pa.array(values[:2_000]), pa.array(values[2_000:] + [None] * (4_000 - len(values)))], names=["content", "title"])
+
+    def got(least):
+        out = defaultdict(list)
+        for g, raw in encoding_repair.clean_lines(iter([batch]), common, least):
+            out[g] += raw.tobytes().split(b"\n")[:-1]
+        return {g: sorted(x) for g, x in out.items()}
+
+    for piece in (1, 100, 1 << 16):
+        monkeypatch.setattr(encoding_repair, "PIECE", piece)
+        assert got(1 << 20) == got(64) == {g: sorted(x) for g, x in want.items()}
+    # Far fewer calls than lines: all lines of a piece are looked at together.
+    many = pa.RecordBatch.from_arrays([pa.array(["\n".join(["the gauge at the weir, 水文站"] * 20)] * 500)], names=["content"])
+    assert _calls(lambda: list(encoding_repair.clean_lines(iter([many]), common))) < 5_000
+
+
+def test_repeated_lines_are_repaired_once(monkeypatch):
+    good = "总磷年均值为0.25毫克/升，较上年下降。沿岸321户完成改造，退水去向可查。"
+    model = lambda: encoding_repair.Model(encoding_repair.ordinary(good), [good.encode() * 20])
+    texts = [f"{i % 7} " + good.encode().decode("latin-1") + "\nCafé ÄÖ survey\n" + good for i in range(300)]
+    m, calls = model(), []
+    once = m.repair_line
+    monkeypatch.setattr(m, "repair_line", lambda x: calls.append(x) or once(x))
+    got = [m.repair(x) for x in texts]
+    assert len(calls) == len(set(calls)) == 8 and got[0][0] == "0 " + good + "\nCafé ÄÖ survey\n" + good
+    # The same where nothing is remembered for long.
+    monkeypatch.setattr(encoding_repair, "KEPT_LINES", 150)
+    monkeypatch.setattr(encoding_repair, "KEPT_STRETCH", 0)
+    assert [model().repair(x) for x in texts] == got
+
+
 # 6
 
 

@@ -36,12 +36,16 @@ COMMON, GROUPS, GROUP_LEAST = 0.01, 32, 50
 DICTIONARY_BYTES, LEAST_LINES = 48_000, 20
 #: Bytes of the stretches that are counted, of a segment at most, and kept around what a segment adds; cells of the table of counts.
 STRETCH, SEGMENT, MARGIN, CELLS = 8, 160, 16, 1 << 20
+#: Characters that are looked at together; their arrays stay in the processor's cache.
+PIECE = 1 << 16
 #: Bytes that show zstandard how often each byte stands in all lines.
 SINGLES = 1 << 19
 #: Description length in bytes of a step to UTF-8 (few texts are valid UTF-8 by chance), of a step to another encoding, and of leaving a character lost.
 STEP_COST, OTHER_COST, LOST_COST = 1.5, 6.0, 2.0
 #: Candidates decoded further after each step, and how much longer than the line they may be.
 BEAM, LONGER = 3, 1.1
+#: Characters of lines (with 100 for each line), and of a stretch, whose results are remembered.
+KEPT_LINES, KEPT_STRETCH = 1 << 22, 64
 
 # Fixed values: (wrongly used, right) encodings, from everyday confusions; 'web' is windows-1252 with the C1 controls in its gaps.
 CHAINS = [("web", "utf-8"), ("latin-1", "utf-8"), ("gb18030", "utf-8"), ("web", "gb18030"), ("latin-1", "gb18030"), ("big5", "gb18030"), ("gb18030", "big5"), ("cp932", "utf-8"), ("cp932", "gb18030"), ("euc_kr", "gb18030"), ("big5", "utf-8"), ("mac_roman", "utf-8"), ("cp1251", "utf-8"), ("koi8_r", "utf-8"), ("cp437", "utf-8"), ("web", "big5")]
@@ -94,49 +98,53 @@ def _encodable(codec: str) -> re.Pattern:
     return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]+")
 
 
+def _whole(s: str, raw: bytes, wrong: str, right: str) -> str:
+    """The stretch, whose bytes in the wrong encoding are ``raw``, decoded anew; itself where that fails."""
+    out = _decode(raw, right)
+    if out is None and right == "utf-8":
+        # Valid sequences inside other bytes; a tail cut off in the middle of a character is lost.
+        if wrong in ("web", "latin-1"):
+            pieces, at = [], 0
+            for u in _UTF8.finditer(raw):
+                pieces += [s[at : u.start()], u.group().decode("utf-8", "replace")]
+                at = u.end()
+            out = "".join([*pieces, s[at:]]) if pieces else None
+        else:
+            out = raw.decode("utf-8", "replace")
+            if out.count("�") * 4 > len(out):
+                out = None
+    elif out is None and len(s) > 3:
+        for a, b in ((1, None), (None, -1), (1, -1)):
+            if (out := _decode(raw[a:b], right)) is not None:
+                out = ("�" if a else "") + out + ("�" if b else "")
+                break
+    return s if out is None else out
+
+
+def _anew(s: str, wrong: str, right: str) -> str:
+    """A stretch decoded anew, itself where it can't be."""
+    raw = _encode(s, wrong)
+    if raw is not None:
+        return _whole(s, raw, wrong, right)
+    # Only part of the stretch can stem from the wrong encoding: its encodable runs.
+    return s if len(s) < 3 else _encodable(wrong).sub(lambda r: r.group() if (raw := _encode(r.group(), wrong)) is None else _whole(r.group(), raw, wrong, right), s)
+
+
+#: Short stretches come again and again, in other lines and along other chains.
+_anew_kept = functools.lru_cache(1 << 15)(_anew)
+
+
 def _redecode(text: str, wrong: str, right: str) -> str | None:
     """The text with each stretch that can be decoded anew replaced; None if nothing changes."""
-    changed = False
-
-    def anew(m: re.Match) -> str:
-        nonlocal changed
-        s = m.group()
-        raw = _encode(s, wrong)
-        if raw is None:
-            if len(s) < 3:
-                return s
-            # Only part of the stretch can stem from the wrong encoding: its encodable runs.
-            return _encodable(wrong).sub(lambda r: whole(r.group()), s)
-        return whole(s, raw)
-
-    def whole(s: str, raw: bytes | None = None) -> str:
-        nonlocal changed
-        raw = _encode(s, wrong) if raw is None else raw
-        out = _decode(raw, right)
-        if out is None and right == "utf-8":
-            # Valid sequences inside other bytes; a tail cut off in the middle of a character is lost.
-            if wrong in ("web", "latin-1"):
-                pieces, at = [], 0
-                for u in _UTF8.finditer(raw):
-                    pieces += [s[at : u.start()], u.group().decode("utf-8", "replace")]
-                    at = u.end()
-                out = "".join([*pieces, s[at:]]) if pieces else None
-            else:
-                out = raw.decode("utf-8", "replace")
-                if out.count("�") * 4 > len(out):
-                    out = None
-        elif out is None and len(s) > 3:
-            for a, b in ((1, None), (None, -1), (1, -1)):
-                if (out := _decode(raw[a:b], right)) is not None:
-                    out = ("�" if a else "") + out + ("�" if b else "")
-                    break
-        if out is None or out == s:
-            return s
-        changed = True
-        return out
+    out = (_STRETCH if wrong in _SINGLE else _DENSE).sub(lambda m: (_anew_kept if len(m.group()) <= KEPT_STRETCH else _anew)(m.group(), wrong, right), text)
+    return None if out == text else out
 
-    out = (_STRETCH if wrong in ("web", "latin-1", "mac_roman", "cp1251", "koi8_r", "cp437") else _DENSE).sub(anew, text)
-    return out if changed else None
+
+@functools.lru_cache(1 << 12)
+def _explaining(odd: str) -> tuple[tuple[str, str], ...]:
+    """The chains that can have produced most of what is uncommon; another explains nothing."""
+    most = {wrong: 5 * sum(map(len, _encodable(wrong).findall(odd))) >= 4 * len(odd) for wrong, _ in CHAINS}
+    return tuple(c for c in CHAINS if most[c[0]])
 
 
 _SINGLE = {"web", "latin-1", "mac_roman", "cp1251", "koi8_r", "cp437"}
@@ -155,6 +163,8 @@ class Model:
 
     def __init__(self, common: str, dictionaries: list[bytes]):
         self.common, self.dictionaries, self._ready = common, dictionaries, None
+        self._lines: dict[str, tuple[str, tuple[str, ...]]] = {}
+        self._room = KEPT_LINES
 
     def ready(self):
         import zstandard as z
@@ -186,10 +196,7 @@ class Model:
             found = []
             for _, text, steps, paid in front:
                 odd = "".join(dict.fromkeys(self.ready()[0].findall(text))).replace("�", "")
-                for wrong, right in CHAINS:
-                    # A chain that can't have produced most of what is uncommon explains nothing.
-                    if 5 * sum(map(len, _encodable(wrong).findall(odd))) < 4 * len(odd):
-                        continue
+                for wrong, right in _explaining(odd):
                     new = _redecode(text, wrong, right)
                     if new is None or new in seen:
                         continue
@@ -208,6 +215,17 @@ class Model:
             return line, ()
         return best, chain
 
+    def repair_known(self, line: str) -> tuple[str, tuple[str, ...]]:
+        """repair_line, done once for a line that comes again soon; all are forgotten when there is no room."""
+        out = self._lines.get(line)
+        if out is None:
+            out = self.repair_line(line)
+            self._room -= len(line) + 100
+            if self._room < 0:
+                self._lines, self._room = {}, KEPT_LINES
+            self._lines[line] = out
+        return out
+
     def repair(self, value: str | None) -> tuple[str | None, str, bool]:
         """(restored, chains joined by ';', damaged)."""
         if not value or not self.ready()[0].search(value):
@@ -215,7 +233,7 @@ class Model:
         lost, lines, chains = bool(LOST.search(value)), [], []
         for line in value.split("\n"):
             if self.ready()[0].search(line):
-                line, chain = self.repair_line(line)
+                line, chain = self.repair_known(line)
                 if chain:
                     chains.append("+".join(chain))
             lines.append(line)
@@ -224,34 +242,28 @@ class Model:
 
 # Scripts by their blocks, the first that has most letters of a text tells its language.
 _SCRIPTS = {"han": "一-鿿", "kana": "ぁ-ヿ", "hangul": "가-힯", "cyrillic": "Ѐ-ӿ", "greek": "Ͱ-Ͽ", "arabic": "؀-ۿ", "hebrew": "֐-׿", "thai": "฀-๿", "devanagari": "ऀ-ॿ"}
-_SCRIPTS = {k: re.compile(f"[{v}]+") for k, v in _SCRIPTS.items()}
 _LANGUAGES = [*_SCRIPTS, "latin"]
+#: Marks in the table of code points, above the numbers of scripts.
+ODD, BROKEN = 16, 32
 # Fixed value: the offsets 1, 4, 8, which end the header of a zstandard dictionary (RFC 8878, section 5).
 _OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 
 
-def _language(text: str) -> str:
-    """The script that has a fifth of the characters, else Latin."""
-    counts = {k: sum(map(len, p.findall(text))) for k, p in _SCRIPTS.items()} if not text.isascii() else {}
-    best = max(counts, key=counts.get, default=None)
-    return best if best and counts[best] * 5 > len(text) else "latin"
-
-
 def common_characters(df: DataFrame, fields: list[str], source: str | None) -> str:
     """Characters beyond ASCII in COMMON of the values of most groups of sources, counted over all values; at most characters per value / COMMON a group come to the driver."""
     group = F.pmod(F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))), F.lit(GROUPS)).cast("int") if source else F.lit(0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[int, Counter] = defaultdict(Counter)
         for b in batches:
             groups = b.column(0).to_pylist()
             for i in range(1, b.num_columns):
                 for g, v in zip(groups, b.column(i).to_pylist()):
                     if v:
-                        held[g, ""] += 1
+                        held[g][""] += 1
                         if not v.isascii():
-                            held.update((g, c) for c in set(v) if c > "\x7f")
-        cols = list(zip(*((g, c, n) for (g, c), n in held.items() if not "\ud800" <= c <= "\udfff"))) or [(), (), ()]
+                            held[g].update(set(v))
+        cols = list(zip(*((g, c, n) for g, counts in held.items() for c, n in counts.items() if not c or c > "\x7f" and not "\ud800" <= c <= "\udfff"))) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["g", "c", "n"])
 
     counted = cut(df.select(group.alias("g"), *fields).mapInArrow(work, "g int, c string, n bigint").groupBy("g", "c").agg(F.sum("n").alias("n")))
@@ -270,49 +282,112 @@ def ordinary(common: str) -> str:
     return "".join(sorted({c for c in common if not latin(c) and not ("\ue000" <= c <= "\uf8ff") and c not in "�锟烫屯"} | set(_ORDINARY)))
 
 
-def clean_lines(batches: Iterator[pa.RecordBatch], common: str, least: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(language, clean lines of it), some ``least`` bytes at a time."""
-    odd = re.compile("[^\x00-\x7f" + re.escape(common) + "]")
-    damaged = re.compile(f"(?:{odd.pattern}){{2}}|[�\u0080-\u009fÂÃâ]")
-    held: dict[int, list[bytes]] = defaultdict(list)
+def _kinds(common: str) -> np.ndarray:
+    """For each code point the number of its script (from 1) in the low bits, ODD if it is uncommon, BROKEN if it tells damage alone."""
+    kinds = np.full(0x110000, ODD, np.uint8)
+    kinds[:0x80] = 0
+    kinds[[ord(c) for c in common]] = 0
+    for i, span in enumerate(_SCRIPTS.values(), 1):
+        kinds[ord(span[0]) : ord(span[-1]) + 1] |= i
+    kinds[[*range(0x80, 0xA0), *map(ord, "�ÂÃâ")]] |= BROKEN
+    return kinds
+
+
+def clean_lines(batches: Iterator[pa.RecordBatch], common: str, least: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """(language, bytes of clean lines of it, each with a line feed behind it), some ``least`` bytes at a time."""
+    kinds = _kinds(common)
+    held: dict[int, list[np.ndarray]] = defaultdict(list)
     size: Counter = Counter()
     for b in batches:
         for column in b.columns:
-            for v in column.to_pylist():
-                for line in (v or "").split("\n"):
-                    # Accented words belong in the dictionaries too; lines with two odd characters in a row don't.
-                    if len(line) >= 8 and not damaged.search(line):
-                        g = _LANGUAGES.index(_language(line))
-                        held[g].append(line.encode("utf-8", "replace"))
-                        size[g] += len(held[g][-1])
-                        if size[g] >= least:
-                            size[g] = 0
-                            yield g, held.pop(g)
-    yield from held.items()
+            for text in _pieces(column.to_pylist()):
+                for g, lines in _clean(text, kinds):
+                    held[g].append(lines)
+                    size[g] += len(lines)
+                    if size[g] >= least:
+                        size[g] = 0
+                        yield g, np.concatenate(held.pop(g))
+    for g, lines in held.items():
+        yield g, np.concatenate(lines)
+
+
+def _pieces(values: list[str | None]) -> Iterator[str]:
+    """All lines of the values, whole and each with a line feed behind it, some PIECE characters at a time."""
+    some, size = [], 0
+    for v in values:
+        if v:
+            at = 0
+            while len(v) - at > PIECE and (end := v.find("\n", at + PIECE)) >= 0:
+                yield v[at : end + 1]
+                at = end + 1
+            some.append(v[at:])
+            size += len(v) - at
+            if size >= PIECE:
+                yield "\n".join([*some, ""])
+                some, size = [], 0
+    if some:
+        yield "\n".join([*some, ""])
+
+
+def _clean(text: str, kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(language, bytes of the clean lines of it) of a text whose lines all end with a line feed."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    ends = np.flatnonzero(points == 10)
+    sizes = np.diff(ends, prepend=-1)  # with the line feed
+    kind = kinds[points]
+    # Accented words belong in the dictionaries too; lines with two odd characters in a row don't.
+    odd = kind & ODD
+    hurt = kind & BROKEN
+    hurt[1:] |= odd[1:] & odd[:-1]
+    keep = sizes > 8
+    keep[np.searchsorted(ends, np.flatnonzero(hurt))] = False
+    script = kind & (ODD - 1)
+    letters = np.flatnonzero(script)
+    n = len(_SCRIPTS)
+    # A line's language is the script that has most letters and a fifth of the characters, else Latin.
+    counts = np.bincount(np.repeat(np.arange(0, n * len(ends), n), sizes)[letters] + script[letters] - 1, minlength=n * len(ends)).reshape(-1, n)
+    language = counts.argmax(1)
+    language[counts.max(1) * 5 <= sizes - 1] = n
+    bytes_each = np.diff(np.flatnonzero(raw == 10), prepend=-1)
+    for g in np.unique(language[keep]).tolist():
+        yield g, raw[np.repeat(keep & (language == g), bytes_each)]
+
+
+def _cells(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines with a line feed behind each: for each place the cell of the STRETCH bytes from there on (CELLS where their line is over before), and the places of the line feeds."""
+    padded = np.concatenate([raw, np.full(STRETCH, 10, np.uint8)])
+    cells = np.empty(len(raw), np.int64)
+    for a in range(0, len(raw), 1 << 15):  # so many stay in the processor's cache
+        eight = np.ndarray((min(1 << 15, len(raw) - a),), "<u8", padded, a, (1,))
+        cells[a : a + (1 << 15)] = (eight * np.uint64(0xCF1BBCDCB7A56463)) >> np.uint64(64 - CELLS.bit_length() + 1)
+    feeds = np.flatnonzero(raw == 10)
+    for back in range(STRETCH):
+        cells[np.maximum(feeds - back, 0)] = CELLS
+    return cells, feeds
 
 
 def stretches(lines: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The lines in one buffer; for each place in it the cell of the STRETCH bytes from there on (-1 where their line is over before), and the end of its line."""
-    raw = b"\n".join(lines) + b"\n" * STRETCH
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
-    ends = np.repeat(np.cumsum(sizes) - 1, sizes)
-    eight = np.ndarray((len(ends),), "<u8", raw, 0, (1,))
-    cells = ((eight * np.uint64(0xCF1BBCDCB7A56463)) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
-    cells[np.arange(len(ends)) + STRETCH > ends] = -1
-    return raw, cells, ends
+    raw = b"".join([x + b"\n" for x in lines])
+    cells, feeds = _cells(np.frombuffer(raw, np.uint8))
+    cells[cells == CELLS] = -1
+    return raw, cells, np.repeat(feeds, np.diff(feeds, prepend=-1))
 
 
 def count_stretches(df: DataFrame, common: str) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
     """Language -> (counts of the stretches by cell, counts of the bytes, clean lines), over all lines of all columns; at most CELLS numbers and a few a language come to the driver."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(CELLS + 257, np.int64))
+        held: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(CELLS + 1, np.int64))
+        each: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(257, np.int64))
         for g, lines in clean_lines(batches, common):
-            cells = stretches(lines)[1]
-            held[g][:CELLS] += np.bincount(cells[cells >= 0], minlength=CELLS)
-            held[g][CELLS:-1] += np.bincount(np.frombuffer(b"".join(lines), np.uint8), minlength=256)
-            held[g][-1] += len(lines)
+            cells, feeds = _cells(lines)
+            np.add.at(held[g], cells, 1)
+            each[g][:-1] += np.bincount(lines, minlength=256)
+            each[g][[ord("\n"), -1]] = 0, each[g][-1] + len(feeds)
         for g, n in held.items():
+            n = np.concatenate([n[:CELLS], each[g]])
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["g", "cell", "n"])
 
@@ -329,6 +404,7 @@ def count_stretches(df: DataFrame, common: str) -> dict[int, tuple[np.ndarray, n
 def best_segments(df: DataFrame, common: str, counts: dict[int, np.ndarray]) -> dict[int, list[bytes]]:
     """Language -> for each of its DICTIONARY_BYTES most frequent stretches the segment, of all that start with it in any line, whose stretches have the greatest sum of counts."""
     tops = {g: np.argsort(-n, kind="stable")[: min(DICTIONARY_BYTES, np.count_nonzero(n))] for g, n in counts.items()}
+    counted = {g: np.append(n, 0) for g, n in counts.items()}  # 0 for places without a stretch
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, best, found = {}, {}, {}
@@ -338,11 +414,11 @@ def best_segments(df: DataFrame, common: str, counts: dict[int, np.ndarray]) ->
         for g, lines in clean_lines(batches, common):
             if g not in tops:
                 continue
-            raw, cells, ends = stretches(lines)
-            start = place[g][cells]  # a cell of -1 is the last, which is none
+            cells, feeds = _cells(lines)
+            start = place[g][cells]
             at = np.flatnonzero(start >= 0)
-            end = np.minimum(at + SEGMENT, ends[at])
-            n = np.where(cells >= 0, counts[g][cells], 0)
+            end = np.minimum(at + SEGMENT, np.repeat(feeds, np.diff(feeds, prepend=-1))[at])
+            n = counted[g][cells]
             # The sum of counts; among equal ones the bits of a sum of hashes decide, so any order of lines gives the same segment.
             sums, marks = (np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)]) for x in (n, (cells + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
             stop = end - STRETCH + 1
@@ -354,7 +430,7 @@ def best_segments(df: DataFrame, common: str, counts: dict[int, np.ndarray]) ->
             won = score == best[g][start]
             which, first = np.unique(start[won], return_index=True)
             for k, a, z in zip(which.tolist(), at[won][first].tolist(), end[won][first].tolist()):
-                found[g][k] = raw[a:z]
+                found[g][k] = lines[a:z].tobytes()
         for g, held in found.items():
             ks = list(held)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ks), g, np.int32)), pa.array(ks, pa.int32()), pa.array(best[g][ks]), pa.array([held[k] for k in ks], pa.binary())], names=["g", "start", "score", "segment"])
